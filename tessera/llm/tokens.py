@@ -60,9 +60,9 @@ class ChunkEncoder:
         return out
 
     def _learn(self, chunks: set[str]) -> None:
-        again = chunks.intersection(self.older)
-        self.table.update((x, self.older[x]) for x in again)
-        new = list(chunks - again)
+        again = {x: self.older[x] for x in chunks if x in self.older}
+        self.table.update(again)
+        new = [x for x in chunks if x not in again]
         for chunk, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
             self.table[chunk] = array("I", found.ids).tobytes()
 
