@@ -15,6 +15,10 @@ from array import array
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
 _PLAIN_SPACE = re.compile("[ \t\n\r]+")
 
+#: Byte-level vocabularies write a byte as the character of that number if it is printable, the others from 256 up.
+_printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_BYTE_CHARS = {b: chr(256 + n) for n, b in enumerate(b for b in range(256) if b not in _printable)}
+
 
 class ChunkEncoder:
     """Little-endian unsigned 32-bit ids of texts.
@@ -33,6 +37,8 @@ class ChunkEncoder:
         self.max_entries, self.max_chunk = max_entries, max_chunk
         self.table: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.model = self.tokenizer.model
+        self.direct = self._is_direct()
 
     @classmethod
     def of(cls, path: str, max_entries: int = 400_000) -> ChunkEncoder:
@@ -60,11 +66,39 @@ class ChunkEncoder:
         return out
 
     def _learn(self, chunks: set[str]) -> None:
-        again = {x: self.older[x] for x in chunks if x in self.older}
-        self.table.update(again)
-        new = [x for x in chunks if x not in again]
-        for chunk, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.table[chunk] = array("I", found.ids).tobytes()
+        table, slow = self.table, []
+        for chunk in chunks:
+            if (ids := self.older.get(chunk)) is not None:
+                table[chunk] = ids
+                continue
+            core = chunk.rstrip(".,!?;:")
+            if self.direct and core.isalpha() and max(core) < "\u0100":
+                word = core.lower()
+                if (ids := table.get(word)) is None:
+                    ids = table[word] = self._word(word)
+                if core != chunk:
+                    if (rest := table.get(chunk[len(core) :])) is None:
+                        rest = self._whole([chunk[len(core) :]])[0]
+                        table[chunk[len(core) :]] = rest
+                    ids += rest
+                table[chunk] = ids
+            else:
+                slow.append(chunk)
+        table.update(zip(slow, self._whole(slow), strict=True))
+
+    def _whole(self, chunks: list[str]) -> list[bytes]:
+        return [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
+
+    def _word(self, word: str) -> bytes:
+        """Ids of a lower-case Latin word by the model alone, as the steps before it only map its bytes."""
+        return array("I", [x.id for x in self.model.tokenize(word.encode().decode("latin-1").translate(_BYTE_CHARS))]).tobytes()
+
+    def _is_direct(self) -> bool:
+        """Whether words stay whole, are lower-cased and mapped byte by byte, and punctuation is split off."""
+        probes = ["word", "Straße", "été", "Señor", "naïveté", "unquestionably", "zzzxqj", "àéîõüñçß", "word,", "Été.", "über!?"]
+        cores = [p.rstrip(".,!?;:") for p in probes]
+        direct = [self._word(c.lower()) + (self._whole([p[len(c) :]])[0] if p != c else b"") for p, c in zip(probes, cores, strict=True)]
+        return direct == self._whole(probes)
 
     def counts(self, texts: list[str | None]) -> list[int]:
         """Number of ids of each text."""
