@@ -84,9 +84,11 @@ def _bucket_of(key: Column, bounds: list[int], low: int = 0) -> Column:
     return F.when(key < bounds[mid], _bucket_of(key, bounds[:mid], low)).otherwise(_bucket_of(key, bounds[mid + 1 :], low + mid + 1))
 
 
-def with_next(docs: DataFrame, columns: list[str], id_col: str = "doc_id", tie_col: str = "text", buckets: int | None = None) -> DataFrame:
+def with_next(docs: DataFrame, columns: list[str], derive=lambda df: df, id_col: str = "doc_id", tie_col: str = "text", buckets: int | None = None) -> DataFrame:
     """``docs`` with a struct ``next`` of ``columns`` of the document next by id; the first one after the last.
 
+    ``derive`` may add columns once rows are dealt: what stands before that runs twice, as ranges are sampled.
+
     Ids are dealt into ranges by quantiles.  The rows at a range's lower bound also go to the range before it, and the
     first rows to the last, so one shuffle serves and no window spans more than a range.
     """
@@ -110,8 +112,8 @@ def with_next(docs: DataFrame, columns: list[str], id_col: str = "doc_id", tie_c
     from pyspark.sql import Window
 
     order = Window.partitionBy("__bucket").orderBy(F.col("__at.wrap"), "__key", F.col("__at.again"), F.col(tie_col).asc_nulls_first())
-    led = dealt.withColumn("next", F.lead(F.struct(*columns)).over(order)).where("__at.again = 0")
-    return led.select(*(c for c in docs.columns), "next")
+    led = derive(dealt).withColumn("next", F.lead(F.struct(*columns)).over(order)).where("__at.again = 0")
+    return led.drop("__key", "__bucket", "__at")
 
 
 def fingerprints(
@@ -123,8 +125,7 @@ def fingerprints(
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     bitmap = lexicon_bitmap(rows, "text", slot_bits, least_docs, most_share)
-    own = rows.withColumn("own", fingerprint(F.col("text"), bitmap, slot_bits, lexicons))
-    led = with_next(own, ["text", "own"])
+    led = with_next(rows, ["text", "own"], lambda df: df.withColumn("own", fingerprint(F.col("text"), bitmap, slot_bits, lexicons)))
     half = F.floor(F.length("text") / 2).cast("int")
     led = led.withColumn("edited", F.concat(F.left("text", F.length("text") - half), F.left("next.text", half)))
     led = led.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "own", F.col("next.own").alias("following"), fingerprint(F.col("edited"), bitmap, slot_bits, lexicons).alias("other"))
