@@ -9,6 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shipping import ensure_importable
 from ..functions.scalar import score, squared_distance, subtract
 
 
@@ -20,6 +21,7 @@ def assign_nearest(df: DataFrame, vector: str, centers: list[list[float]], code:
 
 def assign_batches(df: DataFrame, vector: str, levels: list[np.ndarray], keep: list[str]) -> DataFrame:
     """Residual codes of all levels by matrix products on Arrow batches: columns ``keep``, codes, error (squared)."""
+    ensure_importable(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast([np.asarray(c, float) for c in levels])
 
     def run(batches):
@@ -48,6 +50,7 @@ def residual(df: DataFrame, vector: str, code: str, centers: list[list[float]])
 
 def _partial_sums(df: DataFrame, vector: str, centers: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
     """(sums, counts, inertia): a row for each center and task comes to the driver, whatever the number of vectors."""
+    ensure_importable(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(centers)
     k, width = centers.shape
 
