@@ -8,6 +8,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..shipping import ensure_importable
+
 #: A table is broadcast only below this many bytes (rows x an upper bound of a row's bytes).
 BROADCAST_BYTES = 8 << 20
 #: Rows of one Arrow batch; texts are long, so far fewer than Spark's own default.
@@ -27,7 +29,8 @@ def shared_dir(spark: SparkSession, name: str) -> str:
 
 
 def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Keep Arrow batches small enough for long texts."""
+    """Keep Arrow batches small enough for long texts, and let the workers import this package."""
+    ensure_importable(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= rows:
         spark.conf.set(key, str(rows))

@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import math
 import re
+import sys
 from collections import Counter
 
 import numpy as np
@@ -40,28 +41,37 @@ def _spread(text: str) -> bytes:
 
 
 def _unlike(sample: list[tuple[str, int]]) -> list[tuple[list[str], int]]:
-    """Windows of documents of which no near copy stands before them: copies would pass for evidence."""
+    """Distinct windows of documents of which no near copy stands before them: copies would pass for evidence."""
     seen, out = set(), []
     for text, label in sample:
         if len(marks := shingles(text, 3)):
             keys = set(enumerate(minhashes([marks], 6)[0].tolist()))
             if len(keys & seen) < 2:
                 seen |= keys
-                out.append((windows(text), label))
+                out.append((sorted({sys.intern(w) for w in windows(text)}), label))
     return out
 
 
-def _markers(sample: list[tuple[list[str], int]], least: int = 6, ratio: float = 6.0, most: int = 300) -> list[str]:
+def _markers(sample: list[tuple[list[str], int]], least: int = 6, ratio: float = 30.0, most: int = 300) -> list[str]:
     """Fragments at words' beginnings that mark toxic documents, the weightiest first."""
-    found = (Counter(), Counter())
+    def fragments(each):
+        return {f" {w[:n]}" for w in each for n in range(3, min(13, len(w) + 1))} | {f" {w} " for w in each}
+
+    found: Counter = Counter()
+    for each, label in sample:
+        if label:
+            found.update(fragments(each))
+    found = Counter({g: a for g, a in found.items() if a >= least})
+    other: Counter = Counter()
     for each, label in sample:
-        found[label].update({f" {w[:n]}" for w in set(each) for n in range(3, min(13, len(w) + 1))} | {f" {w} " for w in each})
+        if not label:
+            other.update(g for g in fragments(each) if g in found)
     toxic = sum(label for _, label in sample)
     plain = len(sample) - toxic
     scored = []
-    for g, a in found[1].items():
-        b = found[0][g]
-        if a >= least and a / toxic > ratio * (b + 0.5) / plain:
+    for g, a in found.items():
+        b = other[g]
+        if a / toxic > ratio * (b + 0.5) / plain:
             scored.append((-a * math.log((a + 0.5) / (toxic + 1) * (plain + 1) / (b + 0.5)), -len(g), g))
     kept: list[str] = []
     for _, _, g in sorted(scored):
@@ -76,9 +86,9 @@ def train_dictionaries(sample: list[tuple[str, int]]) -> tuple[bytes, bytes]:
     marks = _markers(rows)
     whole, parts = Counter(), Counter()
     for n, each in enumerate(e for e, label in rows if not label):
-        whole.update(set(each))
+        whole.update(each)
         if n < 1200:
-            parts.update(w[k : k + size] for w in set(each) for size in (2, 3, 4, 5) for k in range(len(w) - size + 1))
+            parts.update(w[k : k + size] for w in each for size in (2, 3, 4, 5) for k in range(len(w) - size + 1))
     order = lambda c, most: [w for w, _ in sorted(c.items(), key=lambda x: (-x[1], x[0]))[:most]][::-1]
     ordinary = _spread(" " + " ".join(order(parts, 4000) + [g[2:] for g in marks] + order(whole, 1500)) + " ") + _filler
     return ordinary, _spread("".join(marks[::-1])) + ordinary
@@ -142,7 +152,7 @@ class Model:
         return (1 / (1 + np.exp(-((rows - self.mean) / self.scale) @ self.weights))).tolist() if texts else []
 
 
-def fit_on(docs: DataFrame, labels: DataFrame, allowed: Column, sample_docs: int = 3000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
+def fit_on(docs: DataFrame, labels: DataFrame, allowed: Column, sample_docs: int = 2000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """Fit on about ``sample_docs`` whole documents of each label, taken by hash of the id among ``allowed``."""
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).cast("int").alias("label")).where(allowed)
     sizes = {r[0]: r[1] for r in known.groupBy("label").count().collect()}  # two rows
