@@ -5,8 +5,8 @@
 2. Nodes are shuffled on band hashes.  A bucket adds only the edges to its least node, never its pairs;
    components of these edges are the coarse clusters that hold every candidate pair.
 3. A cluster is cut into blocks of nodes, and each pair of blocks is a cell of bounded size.  A cell
-   verifies the pairs that share a band on full shingle sets and returns one row a node: how many links
-   and which root.  So a huge group is dealt over many tasks, and pairs are never rows.
+   verifies all its pairs, those that share no band too, on full shingle sets and returns one row a node: how
+   many links and which root.  So a huge group is dealt over many tasks, and pairs are never rows.
 4. Links are added up, and components of the verified links are the classes.
 
 Defined results: a text without a word is a class of its own; fewer words than the width form one shingle;
@@ -81,7 +81,7 @@ def _sets(texts: DataFrame, width: int) -> DataFrame:
     return texts.mapInArrow(run, "node long, set binary")
 
 
-def _verify(nodes, sides, weights, bands, sets, threshold: float):
+def _verify(nodes, sides, weights, sets, threshold: float):
     """Links and root of each node of a cell: (node, links, root) of nodes that have any.
 
     ``sides`` has 0 and 1 for the two blocks of a cell, or 2 where a cell is one block.
@@ -102,18 +102,15 @@ def _verify(nodes, sides, weights, bands, sets, threshold: float):
         return k
 
     for a in range(n - 1):
-        near = a + 1 + np.flatnonzero((bands[a + 1 :] == bands[a]).any(axis=1))
-        near = near[(sides[near] != sides[a]) | (sides[a] == 2)]
-        near = near[np.minimum(size[near], size[a]) >= threshold * np.maximum(size[near], size[a])]
-        if not len(near):
-            continue
         mark[flat[cut[a] : cut[a + 1]]] = 1
-        both = np.array([mark[flat[cut[b] : cut[b + 1]]].sum() for b in near])
+        both = np.add.reduceat(mark[flat[cut[a + 1] :]], cut[a + 1 : -1] - cut[a + 1])
         mark[flat[cut[a] : cut[a + 1]]] = 0
-        for b in near[both >= threshold * (size[a] + size[near] - both) - 1e-9]:
+        near = both >= threshold * (size[a] + size[a + 1 :] - both) - 1e-9
+        near &= (sides[a + 1 :] != sides[a]) | (sides[a] == 2)
+        for b in (a + 1 + np.flatnonzero(near)).tolist():
             links[a] += weights[b]
             links[b] += weights[a]
-            x, y = top(a), top(int(b))
+            x, y = top(a), top(b)
             root[max(x, y)] = min(x, y)
     return [(int(nodes[k]), int(links[k]), int(nodes[top(k)])) for k in range(n) if links[k]]
 
@@ -129,7 +126,7 @@ def _cells(rows: DataFrame, threshold: float) -> DataFrame:
                 return []
             nodes = np.array([r[3] for r in cell])
             sides = np.array([2 if r[1] == r[2] else int(r[4] == r[2]) for r in cell])
-            return _verify(nodes, sides, np.array([r[5] for r in cell]), np.array([r[6] for r in cell]), [np.frombuffer(r[7], np.uint64) for r in cell], threshold)
+            return _verify(nodes, sides, np.array([r[5] for r in cell]), [np.frombuffer(r[6], np.uint64) for r in cell], threshold)
 
         schema = pa.schema([("node", pa.int64()), ("links", pa.int64()), ("root", pa.int64())])
         waiting, out = [], []
@@ -173,17 +170,17 @@ def near_duplicates(
     sized = nodes.join(coarse, "node")
     cluster = written(sized.groupBy("root").agg(F.greatest(F.ceil(F.count(F.lit(1)) / block_nodes), F.ceil(F.sum("shingles") / block_shingles)).cast("int").alias("blocks")), "clusters")
     placed = written(
-        sized.join(cluster.hint("merge"), "root").select("node", "first_id", "root", "copies", "bands", "blocks", F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")).cast("int").alias("block")),
+        sized.join(cluster.hint("merge"), "root").select("node", "first_id", "root", "copies", "blocks", F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")).cast("int").alias("block")),
         "placed",
     )
     wanted = placed.select(F.col("first_id").alias("doc_id"), "node")
     small = wanted.count() * 16 <= BROADCAST_BYTES
     texts = docs.join(F.broadcast(wanted) if small else wanted.hint("merge"), "doc_id").select("node", "text")
     sets = written(_sets(texts, width), "sets")
-    cells = placed.select("root", "node", "block", "copies", "bands", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select(
-        "root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "block", "copies", "bands"
+    cells = placed.select("root", "node", "block", "copies", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select(
+        "root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "block", "copies"
     )
-    cells = cells.join(sets.hint("merge"), "node").select("root", "i", "j", "node", "block", "copies", "bands", "set")
+    cells = cells.join(sets.hint("merge"), "node").select("root", "i", "j", "node", "block", "copies", "set")
     cells = cells.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "root", "i", "j").sortWithinPartitions("root", "i", "j")
     found = written(_cells(cells, threshold), "links")
 
