@@ -19,18 +19,27 @@ def _fit_columns(docs: DataFrame) -> list[str]:
     return [f"`{c}`" for c in docs.columns]
 
 
+def _free(docs: DataFrame, name: str) -> str:
+    """``name``, or with underscores before it until no column has it."""
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name = f"_{name}"
+    return name
+
+
 def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without a letter or without a clearly best language; all columns of the rest."""
     path = tokenizer_path(PIECES)
     model = language_id.fit_on(docs, F.lit(True), path)
-    found = language_id.identify(docs, model, path, keep=tuple(_fit_columns(docs)))
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select(*_fit_columns(docs))
+    pred, score = _free(docs, "lang_pred"), _free(docs, "score")
+    found = language_id.identify(docs, model, path, keep=tuple(_fit_columns(docs)), names=(pred, score))
+    return found.where((F.col(pred) != "und") & (F.col(score) >= LEAST_LANGUAGE_SCORE)).select(*_fit_columns(docs))
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents that score as toxic; the labels of the documents at hand are learned from."""
     model = toxicity.fit_on(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), F.lit(True))
-    return toxicity.score(docs, model, keep=tuple(_fit_columns(docs))).where(F.col("score") < TOXIC_SCORE).select(*_fit_columns(docs))
+    score = _free(docs, "score")
+    return toxicity.score(docs, model, keep=tuple(_fit_columns(docs)), name=score).where(F.col(score) < TOXIC_SCORE).select(*_fit_columns(docs))
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

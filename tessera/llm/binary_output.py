@@ -125,7 +125,7 @@ class FrameReader:
             if k != frame:
                 frame, at, plain = k, 0, b""
             if wanted is None or doc_id in wanted:
-                plain = plain or self.frame(k)
+                plain = plain or (self.frame(k) if tokens else b"")
                 yield doc_id, plain[at : at + 4 * tokens]
             at += 4 * tokens
 

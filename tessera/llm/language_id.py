@@ -193,8 +193,9 @@ def fit_on(docs: DataFrame, allowed: Column, tokenizer: str, sample_docs: int =
     return fit(counts, tokenizer) if counts else ([], np.zeros((1, 0)))
 
 
-def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], tokenizer: str, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Columns ``keep`` with lang_pred and score, the best language's share of the likelihood."""
+def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], tokenizer: str, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """Columns ``keep`` with the predicted language and its score, the best language's share of the likelihood; ``names``
+    names these two, as no column of ``keep`` may be called so."""
     bounded_batches(docs.sparkSession)
     languages, p = model
     shared = docs.sparkSession.sparkContext.broadcast(p.astype(np.float32))  # vocabulary x languages
@@ -205,16 +206,16 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], tokenizer: st
         scorer = Scorer(tokenizer, shared.value.astype(float))
         for batch in batches:
             pred, score = [], []
-            for x in scorer.score(batch.column(0).to_pylist()):
-                if x is None or not languages:
+            for x in scorer.score(batch.column(0).to_pylist()) if languages else [None] * batch.num_rows:
+                if x is None:
                     pred.append("und")
                     score.append(0.0)
                 else:
                     best = int(x.argmax())
                     pred.append(languages[best])
                     score.append(float(1 / np.exp(x - x[best]).sum()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=[*batch.schema.names[1:], "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=[*batch.schema.names[1:], *names])
 
     rows = docs.select(F.col(text_col).cast("string").alias("__text"), *keep)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:])
-    return rows.mapInArrow(run, f"{schema}, lang_pred string, score double")
+    return rows.mapInArrow(run, f"{schema}, `{names[0]}` string, `{names[1]}` double")

@@ -166,8 +166,8 @@ def fit_on(docs: DataFrame, labels: DataFrame, allowed: Column, sample_docs: int
     return Model([(text, label) for _, text, label in sample])
 
 
-def score(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Columns ``keep`` with score, 0 to 1."""
+def score(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), name: str = "score") -> DataFrame:
+    """Columns ``keep`` with a score of 0 to 1, called ``name``."""
     bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # two dictionaries of some hundred kB
 
@@ -179,8 +179,8 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[str
         for batch in batches:
             texts = batch.column(0).to_pylist()
             values = fitted.scores(distance, texts) if distance else [0.0] * len(texts)
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(values, pa.float64())], names=[*batch.schema.names[1:], "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(values, pa.float64())], names=[*batch.schema.names[1:], name])
 
     rows = docs.select(F.col(text_col).cast("string").alias("__text"), *keep)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:])
-    return rows.mapInArrow(run, f"{schema}, score double")
+    return rows.mapInArrow(run, f"{schema}, `{name}` double")
