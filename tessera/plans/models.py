@@ -148,17 +148,17 @@ def seed_summary(spark, sf_dir):
     return out.select("event_type", "n", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"), "all_negative")
 
 
-@query("WITH m AS (SELECT p_brand, p_size % 5 AS k, avg(p_retailprice) AS v FROM part GROUP BY 1, 2) SELECT p_brand, count(*) AS runs, round(min(v), 4) AS best, round(avg(v), 4) AS mean FROM m GROUP BY 1")
+@query("WITH m AS (SELECT p_brand, p_size % 5 AS k, avg(p_retailprice) AS v FROM part GROUP BY 1, 2) SELECT p_brand, count(*) AS runs, round(min(v), 6) AS best, round(avg(v), 6) AS mean FROM m GROUP BY 1")
 def capacity_summary(spark, sf_dir):
     m = table(spark, sf_dir, "part").groupBy("p_brand", (F.col("p_size") % 5).alias("k")).agg(F.avg("p_retailprice").alias("v"))
-    return m.groupBy("p_brand").agg(F.count(F.lit(1)).alias("runs"), F.round(F.min("v"), 4).alias("best"), F.round(F.avg("v"), 4).alias("mean"))
+    return m.groupBy("p_brand").agg(F.count(F.lit(1)).alias("runs"), F.round(F.min("v"), 6).alias("best"), F.round(F.avg("v"), 6).alias("mean"))
 
 
-@query("WITH m AS (SELECT p_brand, p_size AS rounds, round(avg(p_retailprice), 4) AS v FROM part GROUP BY 1, 2), b AS (SELECT *, min(v) OVER (PARTITION BY p_brand) AS best FROM m), r AS (SELECT p_brand, rounds, v, row_number() OVER (PARTITION BY p_brand ORDER BY rounds) AS k FROM b WHERE v <= best * 1.005) SELECT p_brand, rounds, v FROM r WHERE k = 1")
+@query("WITH m AS (SELECT p_brand, p_size AS rounds, round(avg(p_retailprice), 6) AS v FROM part GROUP BY 1, 2), b AS (SELECT *, min(v) OVER (PARTITION BY p_brand) AS best FROM m), r AS (SELECT p_brand, rounds, v, row_number() OVER (PARTITION BY p_brand ORDER BY rounds) AS k FROM b WHERE v <= best * 1.005) SELECT p_brand, rounds, v FROM r WHERE k = 1")
 def early_stop_recommendation(spark, sf_dir):
     """The fewest rounds within half a percent of the best."""
     from pyspark.sql import Window
 
-    m = table(spark, sf_dir, "part").groupBy("p_brand", F.col("p_size").alias("rounds")).agg(F.round(F.avg("p_retailprice"), 4).alias("v"))
+    m = table(spark, sf_dir, "part").groupBy("p_brand", F.col("p_size").alias("rounds")).agg(F.round(F.avg("p_retailprice"), 6).alias("v"))
     near = m.withColumn("best", F.min("v").over(Window.partitionBy("p_brand"))).where("v <= best * 1.005")
     return sampling.first_per_group(near, ["p_brand"], 1, "rounds").select("p_brand", "rounds", "v")

@@ -273,7 +273,7 @@ def event_labels(spark, sf_dir):
 def endpoint_alignment(spark, sf_dir):
     order = Window.partitionBy("user_id").orderBy("tick")
     rows = ticks(spark, sf_dir).withColumns({"n1": F.lead("value").over(order), "n2": F.lead("value", 2).over(order)}).where("n2 IS NOT NULL")
-    return rows.groupBy("user_id").agg(F.round(F.corr("value", "n1"), 6).alias("now"), F.round(F.corr("value", "n2"), 6).alias("shifted"), F.count(F.lit(1)).alias("n")).where("n >= 3")
+    return rows.groupBy("user_id").agg(F.round(metrics.correlation("value", "n1"), 6).alias("now"), F.round(metrics.correlation("value", "n2"), 6).alias("shifted"), F.count(F.lit(1)).alias("n")).where("n >= 3")
 
 
 @query(f"WITH {TICKS}, t AS (SELECT user_id, value AS x2, lag(value, 2) OVER w AS x1, lag(value, 4) OVER w AS x0 FROM ticks WINDOW w AS (PARTITION BY user_id ORDER BY tick)), c AS (SELECT unnest([0, 1, 2]) AS kind, x0, x1, x2 FROM t WHERE x0 IS NOT NULL), d AS (SELECT kind, CASE kind WHEN 0 THEN x1 ELSE x2 END AS y0, CASE kind WHEN 0 THEN x0 WHEN 1 THEN x1 ELSE x2 END AS y1, CASE kind WHEN 1 THEN x0 ELSE x2 END AS y2, x0, x1, x2 FROM c) SELECT CASE kind WHEN 0 THEN 'history_swap' WHEN 1 THEN 'reverse_time' ELSE 'static_current' END AS perturbation, count(*) AS n, round(avg(CASE WHEN floor(y0 / 25) <> floor(x0 / 25) OR floor(y1 / 25) <> floor(x1 / 25) OR floor(y2 / 25) <> floor(x2 / 25) THEN 1.0 ELSE 0.0 END), 6) AS changed FROM d GROUP BY 1")
