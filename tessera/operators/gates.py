@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 from ..functions.scalar import score
 
 
-def paired_bootstrap(deltas: DataFrame, key: str, delta: str, draws: int, salt: str) -> DataFrame:
+def paired_bootstrap(deltas: DataFrame, key: str, delta: str, draws: int, salt: str, by_index: bool = False) -> DataFrame:
     """n, mean, win share and the linear 2.5 and 97.5 % quantiles of means of resampled episodes.
 
     A draw takes n positions from hashes of (draw, place), so it can be repeated anywhere.  Draws are dealt over
-    tasks; ``deltas`` has a row an episode.
+    tasks; ``deltas`` has a row an episode.  ``by_index`` picks the ends among the sorted means, at draws * 0.025 - 1
+    and draws * 0.975 from 0, instead of quantiles between them.
     """
     from pyspark.sql import Window
 
@@ -24,7 +25,12 @@ def paired_bootstrap(deltas: DataFrame, key: str, delta: str, draws: int, salt:
     slots = spark.range(draws).select(F.col("id").alias("draw"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("place"))
     picks = slots.withColumn("pos", F.pmod(F.conv(F.substring(score(salt, F.col("draw"), F.col("place")), 1, 12), 16, 10).cast("long"), F.lit(n)))
     means = picks.join(rows, "pos").groupBy("draw").agg(F.avg("d").alias("m"))
-    ends = means.agg(F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"))
+    if by_index:
+        at = lambda k: F.element_at(F.sort_array(F.collect_list("m")), k + 1)  # noqa: E731  (a value a draw)
+        low, high = at(max(0, int(0.025 * draws) - 1)), at(min(draws - 1, int(0.975 * draws)))
+    else:
+        low, high = F.percentile("m", F.lit(0.025)), F.percentile("m", F.lit(0.975))
+    ends = means.agg(low.alias("low"), high.alias("high"))
     return deltas.agg(F.count(F.lit(1)).alias("n"), F.avg(delta).alias("mean"), F.avg((F.col(delta) < 0).cast("double")).alias("wins")).join(ends, F.lit(True))  # one row each
 
 
@@ -47,3 +53,16 @@ def seed_summary(rows: DataFrame, by: list[str], value: str) -> DataFrame:
         F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.min(value).alias("least"), F.max(value).alias("greatest"), F.bool_and(F.col(value) < 0).alias("all_negative"),
         F.try_divide(F.stddev_pop(value), F.abs(F.avg(value))).alias("cv"),
     )
+
+
+def bounds(rows: DataFrame, limits: dict[str, tuple[str, float | None, float | None, bool]]) -> DataFrame:
+    """A row a gate: its worst value over ``rows`` against its bounds.  ``limits``: gate -> (column, least, most, blocker).
+    A gate fails if any row is outside or null, and is ``missing`` over no rows at all."""
+    def one(name, column, least, most, blocker):
+        v = F.col(column)
+        outside = v.isNull() | (F.lit(False) if least is None else v < least) | (F.lit(False) if most is None else v > most)
+        status = F.when(F.count(F.lit(1)) == 0, "missing").when(F.bool_or(outside), "fail").otherwise("pass")
+        worst = F.min(v) if least is not None else F.max(v)
+        return F.struct(F.lit(name).alias("gate"), worst.cast("double").alias("worst"), status.alias("status"), F.lit(blocker).alias("blocker"))
+
+    return rows.agg(F.array(*(one(k, *v) for k, v in limits.items())).alias("g")).select(F.inline("g"))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import score, split_of, unit_interval
+from ..shipping import ensure_importable
 
 
 def hash_split(df: DataFrame, key: str, salt: str) -> DataFrame:
@@ -64,17 +67,79 @@ def folds(parents: DataFrame, by: list[str], parent: str, salt: str) -> DataFram
 
 def derangement(df: DataFrame, by: list[str], parent: str, row: str, salt: str) -> DataFrame:
     """A donor row for each row: rows stand parent by parent, the largest first, and the donor is one largest
-    parent's size further on, cyclically; so donors come from other parents wherever that is possible."""
+    parent's size further on, cyclically; so donors come from other parents wherever that is possible.
+    Parents are placed among each other by their sizes alone, rows within their parent, so no task sorts a group's rows.
+    """
     w = Window.partitionBy(*by)
-    sized = df.select(*by, parent, row).withColumn("size", F.count(F.lit(1)).over(Window.partitionBy(*by, parent)))
-    placed = sized.withColumns({
-        "pos": F.row_number().over(w.orderBy(F.desc("size"), score(salt, F.col(parent)), score(salt, F.col(row)))) - 1,
-        "n": F.count(F.lit(1)).over(w), "shift": F.max("size").over(w),
-    })
+    ranked = w.orderBy(F.desc("size"), score(salt, F.col(parent)))
+    sizes = df.groupBy(*by, parent).agg(F.count(F.lit(1)).alias("size")).withColumns({
+        "before": F.sum("size").over(ranked.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"), "n": F.sum("size").over(w), "shift": F.max("size").over(w),
+    }).drop("size")
+    keys = [*by, parent]
+    sizes = sizes.select(*(F.col(c).alias(f"__{c}") for c in keys), "before", "n", "shift")
+    same = reduce(lambda p, c: p & F.col(c).eqNullSafe(F.col(f"__{c}")), keys, F.lit(True))
+    own = F.row_number().over(Window.partitionBy(*keys).orderBy(score(salt, F.col(row)))) - 1
+    placed = df.select(*keys, row).withColumn("own", own).join(sizes, same).withColumn("pos", F.col("before") + F.col("own"))
     donor = placed.select(*by, F.col("pos").alias("dpos"), F.col(row).alias("donor"), F.col(parent).alias("donor_parent"))
     return placed.withColumn("dpos", F.pmod(F.col("pos") + F.col("shift"), F.col("n"))).join(donor, [*by, "dpos"]).select(*by, parent, row, "donor", "donor_parent")
 
 
+def deal_ranks(df: DataFrame, group: str, row: str, ranks: int, salt: str) -> DataFrame:
+    """Adds ``pos`` and ``rank``: groups in order of hash, rows in order of hash within them, dealt round; the rows
+    that would make ranks unequal go.  Only the groups' sizes are summed in one order."""
+    sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
+    order = Window.orderBy(score(salt, F.col(group)), group)  # a row a group
+    sizes = sizes.withColumns({"before": F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n"), "total": F.sum("n").over(Window.partitionBy())}).drop("n")
+    own = F.row_number().over(Window.partitionBy(group).orderBy(score(salt, F.col(row)), row)) - 1
+    placed = df.withColumn("__own", own).join(sizes, group).withColumn("pos", F.col("before") + F.col("__own"))
+    kept = placed.where(F.col("pos") < F.col("total") - F.pmod(F.col("total"), F.lit(ranks)))
+    return kept.withColumn("rank", F.pmod(F.col("pos"), F.lit(ranks))).drop("__own", "before", "total")
+
+
+def groups_first(df: DataFrame, group: str, n: int, row: str, salt: str) -> DataFrame:
+    """``n`` rows by hash, the first of each group before any second one; rows without group count as their own."""
+    own = F.coalesce(F.col(group).cast("string"), F.concat(F.lit("row|"), F.col(row).cast("string")))
+    rows = df.withColumn("score", score(salt, F.col(row))).withColumn("__g", own)
+    rows = rows.withColumn("again", (F.row_number().over(Window.partitionBy("__g").orderBy("score")) > 1).cast("int"))
+    return rows.orderBy("again", "score").limit(n).drop("__g")
+
+
+def scene_round_robin(df: DataFrame, by: list[str], scene: str, row: str, labels: list[str], n: int, salt: str) -> DataFrame:
+    """Up to ``n`` rows of each key, a scene at a time in rounds; round r starts at the r-th scene by hash, and each scene
+    gives the row whose labels were taken least so far (the first label counts most), then the least hash.
+
+    Counts of labels run through all picks of a key, so a task makes them in turn; but it sees few rows: at most ``n``
+    scenes matter, and of equal labels in a scene only the first by hash, ``n`` at the most.  Rows without scene go.
+    """
+    names = [*by, scene, row, *labels]
+    scenes = df.where(F.col(scene).isNotNull()).select(*by, scene).distinct().withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(score(salt, "scene", F.col(scene)))))
+    pool = df.select(*names).withColumn("score", score(salt, F.col(row))).join(scenes.where(F.col("place") <= n), [*by, scene])
+    pool = first_per_group(pool, [*by, scene, *labels], n, "score").drop("rank")
+    schema = pool.select(*names).withColumn("pick", F.lit(0).cast("long")).schema
+
+    def turns(part):
+        import pandas as pd
+
+        counts: list[dict] = [{} for _ in labels]
+        waiting = [g.to_dict("records") for _, g in part.sort_values("score").groupby("place")]
+        picked: list[dict] = []
+        start = 0
+        while len(picked) < n and any(waiting):
+            for k in range(len(waiting)):
+                own = waiting[(start + k) % len(waiting)]
+                if own and len(picked) < n:
+                    best = min(own, key=lambda r: (*(c.get(r[name], 0) for c, name in zip(counts, labels, strict=True)), r["score"]))
+                    own.remove(best)
+                    for c, name in zip(counts, labels, strict=True):
+                        c[best[name]] = c.get(best[name], 0) + 1
+                    picked.append({**{name: best[name] for name in names}, "pick": len(picked)})
+            start += 1
+        return pd.DataFrame(picked, columns=[*names, "pick"])
+
+    ensure_importable(df.sparkSession)
+    return pool.groupBy(*by).applyInPandas(turns, schema)
+
+
 def longest_first(sizes: dict[str, int], bins: int) -> dict[str, int]:
     """Longest-processing-time assignment of a bounded list of files to bins; ties to fewer files, then lower bin."""
     load = [[0, 0, b] for b in range(bins)]

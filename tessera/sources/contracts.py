@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -23,6 +23,12 @@ def fingerprint(df: DataFrame) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("rows"), part(1).alias("low"), part(8).alias("high"))
 
 
+def violations(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
+    """(rule, violations): rows for which a rule is false or unknown, all counted in one pass."""
+    counts = [F.struct(F.lit(k).alias("rule"), F.count_if(~F.coalesce(rule, F.lit(False))).alias("violations")) for k, rule in rules.items()]
+    return df.agg(F.array(*counts).alias("c")).select(F.inline("c"))
+
+
 def write_table(df: DataFrame, path: str, contract: dict) -> str:
     """Write once: an equal contract leaves the table as it is, another one is an error."""
     spark, digest = df.sparkSession, canonical_hash(contract)
