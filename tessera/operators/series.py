@@ -28,6 +28,19 @@ def causal_triples(df: DataFrame, stride: int, value: str, episode: str = "user_
     return rows.where((F.col(tick) >= 2 * stride) & F.col("v0") & F.col("v1") & F.col("v2") & (F.col("t1") - F.col("t0") <= most) & (F.col("t2") - F.col("t1") <= most))
 
 
+def aligned_triples(df: DataFrame, strides: list[int], value: str, episode: str = "user_id", tick: str = "tick", seconds: str = "sec", valid: Column | None = None, factor: float = 1.5) -> DataFrame:
+    """Rows at which the triples of all strides exist, as x0_s, x1_s, x2_s for each stride s.  All lags share one sort of
+    the episodes, so nothing is joined."""
+    order = _order(episode, tick)
+    rows = with_cadence(df, episode, tick, seconds).withColumn("ok", F.lit(True) if valid is None else valid)
+    back = lambda c, k: F.lag(c, k).over(order) if k else F.col(c)
+    out = rows.withColumns({f"{name}{2 - k}_{s}": back(c, k * s) for s in strides for name, c in (("x", value), ("t", seconds), ("v", "ok")) for k in (2, 1, 0)})
+    for s in strides:
+        most = F.col("cadence") * s * factor
+        out = out.where((F.col(tick) >= 2 * s) & F.col(f"v0_{s}") & F.col(f"v1_{s}") & F.col(f"v2_{s}") & (F.col(f"t1_{s}") - F.col(f"t0_{s}") <= most) & (F.col(f"t2_{s}") - F.col(f"t1_{s}") <= most))
+    return out
+
+
 def future_change(df: DataFrame, stride: int, value: str, episode: str = "user_id", tick: str = "tick") -> DataFrame:
     """Adds ``target``: the value one stride ahead less the value now; rows without one go."""
     return df.withColumn("target", F.lead(value, stride).over(_order(episode, tick)) - F.col(value)).where("target IS NOT NULL")

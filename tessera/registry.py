@@ -29,7 +29,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from .plans import checks, manifests, models, motion, samples, series, tables  # noqa: F401
+    from .plans import checks, manifests, models, motion, samples, series, tables, windows  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
