@@ -128,10 +128,10 @@ def nearest_frame(spark, sf_dir):
     return found.select("user_id", "event_id", "click_id", F.round("distance", 3).alias("distance"))
 
 
-@query(f"WITH {TICKS}, u AS (SELECT DISTINCT user_id FROM ticks), l AS (SELECT user_id, coalesce(lead(user_id) OVER (ORDER BY user_id), first_value(user_id) OVER (ORDER BY user_id)) AS other FROM u), f AS (SELECT user_id, value AS a, row_number() OVER (PARTITION BY user_id ORDER BY tick) AS pos FROM ticks), b AS (SELECT user_id AS other, value AS b, row_number() OVER (PARTITION BY user_id ORDER BY tick DESC) AS pos FROM ticks) SELECT user_id, other, count(*) AS n, round(avg(abs(a - b)), 5) AS distance FROM f JOIN l USING (user_id) JOIN b USING (other, pos) WHERE pos <= 256 GROUP BY 1, 2")
+@query(f"WITH {TICKS}, u AS (SELECT DISTINCT user_id FROM ticks), l AS (SELECT user_id, coalesce(lead(user_id) OVER (ORDER BY user_id), first_value(user_id) OVER (ORDER BY user_id)) AS other FROM u), f AS (SELECT user_id, value AS a, row_number() OVER (PARTITION BY user_id ORDER BY tick) AS pos FROM ticks), b AS (SELECT user_id AS other, value AS b, row_number() OVER (PARTITION BY user_id ORDER BY tick DESC) AS pos FROM ticks) SELECT user_id, other, count(*) AS n, round(avg(abs(a - b)), 9) AS distance FROM f JOIN l USING (user_id) JOIN b USING (other, pos) WHERE pos <= 256 GROUP BY 1, 2")
 def cross_episode_distances(spark, sf_dir):
     """WIN-13; 256 rows a pair is the definition."""
-    return motion.cross_episode_pairs(ticks(spark, sf_dir), "value").groupBy("user_id", "other").agg(_rows(), F.round(F.avg(F.abs(F.col("a") - F.col("b"))), 5).alias("distance"))
+    return motion.cross_episode_pairs(ticks(spark, sf_dir), "value").groupBy("user_id", "other").agg(_rows(), F.round(F.avg(F.abs(F.col("a") - F.col("b"))), 9).alias("distance"))
 
 
 @query("WITH g AS (SELECT value, avg(value) OVER (PARTITION BY event_type) AS m, event_type FROM events) SELECT count(DISTINCT event_type) AS groups, round(avg((value - m) * (value - m)), 5) AS mse, round(1 - avg((value - m) * (value - m)) / greatest(var_pop(value), 1e-12), 6) + 0.0 AS r2 FROM g")
