@@ -147,6 +147,37 @@ def test_neighbours_share_rare_terms():
     assert 3 not in shard.neighbours(0)
 
 
+def test_neighbours_by_common_terms_follow():
+    ids = [_bytes([*range(100, 120), 1, 2]), _bytes([*range(100, 120), 3]), _bytes([1, 2, 4])] + [_bytes([1, 2, 900 + k]) for k in range(3)]
+    shard = packing.Bm25Shard(ids)
+    shard.free[0] = False
+    found = shard.ranked(0)
+    assert list(shard.neighbours(0)) == [1] and next(found) == 1
+    shard.free[1] = False
+    assert set(map(int, found)) == {2, 3, 4, 5}
+
+
+def test_neighbours_meet_from_all_over_the_input(spark):
+    rng = random.Random(3)
+    words = sorted({w for r in spark.read.parquet(f"{SF}/documents.parquet").select("text").collect() for w in (r[0] or "").split() if w.isalpha()})
+    topics = [rng.sample(words, 12) for _ in range(40)]
+    docs = [(100 * n + k, " ".join(rng.choices(topic, k=40) + rng.choices(words, k=10))) for n in range(8) for k, topic in enumerate(topics)]
+    rows = packing.pack(spark.createDataFrame(docs, SCHEMA).repartitionByRange(8, "doc_id"), BPE, window=512, block_docs=40).collect()
+    by = {}
+    for r in rows:
+        by.setdefault(r["sequence_id"], set()).add(r["doc_id"])
+    met = {(a, b) for own in by.values() for a in own for b in own if a < b and a % 100 == b % 100}
+    assert len({x for pair in met for x in pair}) > 0.75 * len(docs)  # in the order of the input: none
+
+
+def test_statistics_are_of_all_documents(spark, tokenizer):
+    docs = [(k, text) for k, (_, text) in enumerate(ODD)]
+    ids = packing._encoded(spark.createDataFrame(docs, SCHEMA).repartition(3), BPE, 1)
+    corpus, sets = packing._statistics(ids), [_ids(tokenizer, t, 1) for _, t in docs]
+    assert corpus.docs == len(docs) and corpus.mean == sum(map(len, sets)) / len(docs)
+    assert {t: int(n) for t, n in enumerate(corpus.df) if n} == dict(Counter(t for own in sets for t in set(own)))
+
+
 # --- fingerprints ----------------------------------------------------------------------------------
 
 def test_fingerprints(spark, odd, empty):
