@@ -2,8 +2,8 @@
 
 1. A task parses each page and hashes its element subtrees.  (host, hash) pairs are counted in Spark, each page
    once, with partial sums, so a host with a third of all pages is no hot group.
-2. Subtrees on at least ``share`` and ``least`` of a host's pages, or on ``most`` of them, make its template.  How many
-   there can be per host is bounded by elements per page / share.
+2. Subtrees on at least ``share`` and ``least`` of a host's pages make its template, whatever the host's size.  How many
+   there can be per host is bounded by elements per page / share.  The page itself, ``html`` and ``body`` are never template.
 3. Pages are read again with their host's template: its subtrees are deleted, and so are elements that the contract
    excludes by their tags, roles or names (menus, headers, footers, forms, scripts, comments, ...).  Inside
    an article only containers can be template, so a short paragraph that several articles share stays; inline
@@ -45,6 +45,8 @@ _ATTRIBUTE = re.compile(r"(?:^|[\s\"'/])(class|id|role|hidden|aria-hidden|style)
 _SPACE = re.compile(r"\s+")
 _NAME = re.compile(r"[a-z]+")
 _HOST = re.compile(r"^\s*(?:[a-z][a-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", re.I)
+#: The page as a whole, which copies of one page repeat.
+WHOLE = frozenset(("#", "html", "body"))
 #: An element that begins closes these, up to the ancestor that holds them.
 _CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _CLOSE_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol pre section table ul".split())
@@ -156,7 +158,7 @@ def _blocks(root: Node, template: set[int], inside: bool) -> list[str]:
             close()
         elif isinstance(node, str):
             run.append(node)
-        elif not (node.dropped or node.digest in template and node.tag not in INLINE and (not inside or node.tag in CONTAINERS)):
+        elif not (node.dropped or node.digest in template and node.tag not in INLINE and node.tag not in WHOLE and (not inside or node.tag in CONTAINERS)):
             inline = node.tag in INLINE
             inside = inside or node.tag in ("article", "main")
             if not inline:
@@ -212,16 +214,16 @@ def _subtrees(pages: DataFrame) -> DataFrame:
     return pages.mapInArrow(run, "host string, digest long, n long")
 
 
-def extract(pages: DataFrame, share: float = 0.2, least: int = 5, most: int = 1000, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def extract(pages: DataFrame, share: float = 0.2, least: int = 5, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row a page: page_id, url, text, n_chars.
 
-    A subtree is template if it is on at least ``share`` of the host's pages and on ``least`` pages, or on ``most``.
+    A subtree is template if it is on at least ``share`` of the host's pages and on ``least`` pages.
     """
     bounded_batches(pages.sparkSession, 500)
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
     counts = written(_subtrees(rows.select("url", "html")).groupBy("host", "digest").agg(F.sum("n").alias("n")).where(f"digest IS NULL OR n >= {least}"), "subtrees")
     hosts = counts.where("digest IS NULL").select("host", F.col("n").alias("pages"))
-    often = counts.where("digest IS NOT NULL").join(hosts, "host").where((F.col("n") >= F.col("pages") * share) | (F.col("n") >= most))
+    often = counts.where("digest IS NOT NULL").join(hosts, "host").where(F.col("n") >= F.col("pages") * share)
     templates = written(often.groupBy("host").agg(F.collect_list("digest").alias("template")), "templates")
     size = templates.agg(F.sum(F.size("template") * 8 + F.length("host") + 16)).first()[0] or 0
 

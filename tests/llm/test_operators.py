@@ -418,6 +418,16 @@ def test_template_inside_an_article_only_if_a_container():
     assert html_text.main_text(page, seen) == "Often. Own"
 
 
+def test_template_depends_on_the_share_alone(spark):
+    pages = [(k, f"http://big.com/{k}", f"<body><div>Own {k}</div>" + ("<div>Shared passage</div>" if k < 1010 else "") + "<div>Menu</div></body>") for k in range(6000)]
+    pages += [(10000 + k, "http://copies.com/a", "<html><body>The same <b>text</b></body></html>") for k in range(1001)]
+    pages += [(20000 + k, "http://big.com/copy", "<html><body><p>A page</p><table><tr><td>copied</table></body></html>") for k in range(1001)]
+    rows = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(4)
+    got = {r["page_id"]: r["text"] for r in html_text.extract(rows).collect()}
+    assert all(got[k] == f"Own {k}" + (" Shared passage" if k < 1010 else "") for k in range(6000))
+    assert all(got[10000 + k] == "The same text" and got[20000 + k] == "A page copied" for k in range(1001))
+
+
 # --- toxicity --------------------------------------------------------------------------------------
 
 def test_toxicity_on_held_out_rows(spark, odd, empty):
