@@ -6,13 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import decontamination, language_id, near_duplicates, packing, toxicity
-from tessera.llm.common import shared_dir, tokenizer_path
+from tessera.llm.common import shared_dir, tokenizer_path, written
 from tessera.llm.queries import PIECES, WORD_BPE
 
 #: Below this share of the likelihood for the best language a text counts as of none.
 LEAST_LANGUAGE_SCORE = 0.5
 #: From this score a document counts as toxic.
 TOXIC_SCORE = 0.7
+#: A character of a word, as near duplicates see it.
+_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]"
 
 
 def _fit_columns(docs: DataFrame) -> list[str]:
@@ -43,16 +45,19 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the least doc_id of each class of near duplicates; documents without id stay."""
-    found = near_duplicates.near_duplicates(docs)
-    rest = found.where("doc_id <> class_id").select("doc_id").distinct()
-    kept = docs.join(rest, "doc_id", "left_anti").select(*_fit_columns(docs))
-    repeated = docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").limit(1).count()
-    if not repeated:
-        return kept
-    # repeated rows of a kept id: the first by text stays
-    first = kept.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(F.struct("text", *[c for c in docs.columns if c not in ("doc_id", "text")])).alias("r"))
-    return first.select("doc_id", "r.*").select(*_fit_columns(docs)).unionByName(kept.where("doc_id IS NULL"))
+    """Keeps one row of each class of near duplicates, that with the least doc_id (rows without id last).
+
+    Each row counts by itself, so other texts under its id stay; rows without words are one if id and text are equal.
+    """
+    row = _free(docs, "row")
+    rows = written(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", row))[row].alias(row)
+    found = near_duplicates.near_duplicates(rows, id_col=row).where("n_links > 0").select(F.col("doc_id").alias(row), F.col("class_id").alias("class"))
+    linked = written(rows.select("doc_id", row).join(found, row), "linked")
+    bare = rows.where(F.col("doc_id").isNotNull() & ~F.coalesce(F.lower("text").rlike(_WORD), F.lit(False))).select("doc_id", "text", row)
+    kept = linked.groupBy("class").agg(first).select(row).unionByName(bare.groupBy("doc_id", "text").agg(first).select(row))
+    rest = linked.select(row).unionByName(bare.select(row)).join(kept, row, "left_anti")
+    return rows.join(rest, row, "left_anti").select(*_fit_columns(docs))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -42,6 +42,19 @@ def test_repeated_rows_of_a_kept_id_become_one(spark):
     assert out.count() == out.select("doc_id").distinct().count() == p.keep_one_of_each_group(spark, docs, SF).count()
 
 
+def test_each_class_keeps_one_row_and_other_texts_of_an_id_stay(spark):
+    import corpus_pipeline as p
+
+    texts = [" ".join(f"w{k}x{i}" for i in range(60)) for k in range(5)]
+    near = [x + " end" for x in texts]
+    rows = [(1, texts[0]), (2, near[0]), (2, texts[1]), (3, texts[2]), (3, texts[3]), (None, texts[4]), (None, near[4]), (None, None), (None, None), (4, ""), (4, ""), (4, None)]
+    out = p.keep_one_of_each_group(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF).collect()
+    got = [tuple(r) for r in out]
+    assert sum(r in got for r in ((None, texts[4]), (None, near[4]))) == 1
+    want = [(1, texts[0]), (2, texts[1]), (3, texts[2]), (3, texts[3]), (None, None), (None, None), (4, ""), (4, None)]
+    assert sorted(map(str, want)) == sorted(str(r) for r in got if r not in ((None, texts[4]), (None, near[4])))
+
+
 def test_the_rest_works_without_this_subpackage(tmp_path):
     for name in ("__spark_entry__.py", "tessera"):
         (shutil.copytree if (REPO / name).is_dir() else shutil.copy)(REPO / name, tmp_path / name)
