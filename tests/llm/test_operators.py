@@ -303,6 +303,26 @@ def test_decontamination_equals_brute_force(spark, odd, empty):
     assert all(not r["item_ids"] for r in decontamination.find_contamination(d, b.limit(0)).collect())
 
 
+def test_short_items_have_their_true_budget():
+    random.seed(6)
+    letters = "abcdefgh "
+    items = [(n, "".join(random.choices(letters[:-1], k=n))) for n in (*range(8, 34), 40)]
+    found = decontamination.Items(items, 0.1)
+    hits = Counter()
+    for k in range(400):
+        n, c = random.choice(items)
+        c = list(c)
+        for _ in range(random.randint(0, n // 10 + 1)):
+            p = random.randrange(len(c))
+            c[p : p + random.choice((0, 1))] = random.choice(("", "x", "yq"))
+        text = "".join(random.choices(letters, k=random.choice((0, 30)))) + "".join(c) + "".join(random.choices(letters, k=random.choice((0, 30))))
+        t = decontamination.normalise(text).tobytes()
+        want = [i for i, p in items if _edit_distance(p.encode(), t) <= int(0.1 * len(p))]
+        assert [x[0] for x in found.search(text)] == want
+        hits.update(min(_edit_distance(dict(items)[i].encode(), t), 1) for i in want)
+    assert hits[0] > 50 and hits[1] > 50
+
+
 # --- token counts ----------------------------------------------------------------------------------
 
 def test_rollup_is_idempotent(spark, tmp_path, tokenizer):
