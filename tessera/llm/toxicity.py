@@ -1,15 +1,19 @@
 """Toxicity by compression distance: how much shorter windows get under a zstandard dictionary of toxic text.
 
-Two dictionaries are trained on a bounded sample of labelled documents.  The ordinary one holds the
-commonest words and fragments of ordinary text.  The toxic one holds the same and the fragments that mark
-toxic text, so a difference in length comes from those alone; their tails are in both, so that only whole
-fragments count.  A window is a word with a space on either side.  Zstandard counts whole bytes, too coarse
-for so short a window, so each byte is spread to four and a filler that both dictionaries know ends it: a
-phrase more or less then shows.  Differences per document go to a logistic threshold fitted on the sample.
-
-Defined results: a null or empty text has one empty window; a window is at most 64 characters, longer words
-are cut; without labels of both kinds every score is 0; repeated rows each get their result; an empty table
-gives no row; other columns are not read.
+1. A bounded sample of labelled documents is cut into windows, a word with a space on either side.  Near copies of a
+   document count once as evidence.
+2. Two dictionaries are made.  The ordinary one is what zstandard's trainer picks from the windows of ordinary documents.  The
+   toxic one is made of those beginnings of toxic documents' windows that toxic documents have far more often, as the rest of a toxic
+   document is ordinary text; its compressor has it in front of the ordinary one: without that, lengths
+   differ by chance at every word that one of the trainings missed.
+3. Each window is compressed with both; what counts is the share of its ordinary length that the toxic dictionary saves.  Zstandard
+   counts whole bytes, too coarse for so short a window, so each byte is spread to four and a filler that both dictionaries know ends it.
+4. A logistic threshold on how many windows gain how much is calibrated on documents of folds that the dictionaries
+   did not see; the dictionaries that score are made from all folds.
+
+Defined results: a null or empty text has no window and gets the score of that; a window is at most 64 characters, longer words
+are cut, so a very long text costs in proportion; without labels of both kinds every score is 0; repeated rows each get
+their result; an empty table gives no row; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,16 +22,18 @@ import math
 import re
 import sys
 from collections import Counter
+from functools import cache
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import attach, bounded_batches
 from .shingles import minhashes, shingles
 
 _WORD = re.compile(r"\w{1,64}")
-_STEPS = (2, 3, 4, 5)  #: differences in bytes that the threshold looks at
+_STEPS = (5, 7, 9, 11)  #: gains in twentieths of a window's ordinary length that the threshold looks at
+_FOLDS = 5
 _codes = np.random.default_rng(1).integers(0, 256, (256, 4), np.uint8)
 _filler = np.random.default_rng(2).integers(0, 256, 64, np.uint8).tobytes()
 
@@ -36,109 +42,130 @@ def windows(text: str | None) -> list[str]:
     return _WORD.findall((text or "").lower())
 
 
-def _spread(text: str) -> bytes:
+def spread(text: str) -> bytes:
     return _codes[np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)].tobytes()
 
 
-def _unlike(sample: list[tuple[str, int]]) -> list[tuple[list[str], int]]:
-    """Distinct windows of documents of which no near copy stands before them: copies would pass for evidence."""
+def _unlike(sample: list[tuple[str, int]]) -> list[list[str] | None]:
+    """Distinct windows of each document; null where a near copy stands before it, as copies would pass for evidence."""
     seen, out = set(), []
-    for text, label in sample:
-        if len(marks := shingles(text, 3)):
-            keys = set(enumerate(minhashes([marks], 6)[0].tolist()))
-            if len(keys & seen) < 2:
-                seen |= keys
-                out.append((sorted({sys.intern(w) for w in windows(text)}), label))
+    for text, _ in sample:
+        marks = shingles(text, 3)
+        keys = set(enumerate(minhashes([marks], 24)[0].tolist())) if len(marks) else set()
+        out.append(sorted({sys.intern(w) for w in windows(text)}) if len(keys & seen) < 3 else None)
+        seen |= keys
     return out
 
 
-def _markers(sample: list[tuple[list[str], int]], least: int = 6, ratio: float = 30.0, most: int = 300) -> list[str]:
-    """Fragments at words' beginnings that mark toxic documents, the weightiest first."""
-    def fragments(each):
-        return {f" {w[:n]}" for w in each for n in range(3, min(13, len(w) + 1))} | {f" {w} " for w in each}
-
-    found: Counter = Counter()
-    for each, label in sample:
-        if label:
-            found.update(fragments(each))
-    found = Counter({g: a for g, a in found.items() if a >= least})
-    other: Counter = Counter()
-    for each, label in sample:
-        if not label:
-            other.update(g for g in fragments(each) if g in found)
-    toxic = sum(label for _, label in sample)
-    plain = len(sample) - toxic
-    scored = []
-    for g, a in found.items():
-        b = other[g]
-        if a / toxic > ratio * (b + 0.5) / plain:
-            scored.append((-a * math.log((a + 0.5) / (toxic + 1) * (plain + 1) / (b + 0.5)), -len(g), g))
-    kept: list[str] = []
-    for _, _, g in sorted(scored):
-        if len(kept) < most and len(g.strip()) >= 3 and not any(g in k for k in kept):
-            kept.append(g)
-    return kept
-
-
-def train_dictionaries(sample: list[tuple[str, int]]) -> tuple[bytes, bytes]:
-    """(ordinary, toxic) dictionary contents from (text, label) pairs of both labels."""
-    rows = _unlike(sample)
-    marks = _markers(rows)
-    whole, parts = Counter(), Counter()
-    for n, each in enumerate(e for e, label in rows if not label):
-        whole.update(each)
-        if n < 1200:
-            parts.update(w[k : k + size] for w in each for size in (2, 3, 4, 5) for k in range(len(w) - size + 1))
-    order = lambda c, most: [w for w, _ in sorted(c.items(), key=lambda x: (-x[1], x[0]))[:most]][::-1]
-    ordinary = _spread(" " + " ".join(order(parts, 4000) + [g[2:] for g in marks] + order(whole, 1500)) + " ") + _filler
-    return ordinary, _spread("".join(marks[::-1])) + ordinary
+def _beginnings(window: str) -> list[str]:
+    return [f" {window[:n]}" for n in range(3, min(13, len(window) + 1))] + [f" {window} "]
+
+
+def toxic_beginnings(toxic: list[list[str]], ordinary: list[list[str]], least: int, ratio: float) -> Counter:
+    """Of each window of a toxic document, its most telling beginning, if it has any.
+
+    One tells if at least ``least`` toxic documents have it, ``ratio`` times their share of ordinary ones.
+    """
+    found, other = Counter(), Counter()
+    for each in toxic:
+        found.update({g for w in each for g in _beginnings(w)})
+    found = {g: a for g, a in found.items() if a >= least and len(g.strip()) >= 3}
+    for each in ordinary:
+        other.update({g for w in each for g in _beginnings(w) if g in found})
+    n, m = len(toxic), len(ordinary)
+    weight = {g: a * math.log((a + 0.5) / (n + 1) * (m + 1) / (other[g] + 0.5)) for g, a in found.items() if a * m > ratio * n * (other[g] + 0.5)}
+    best = (max((g for g in _beginnings(w) if g in weight), key=lambda g: (weight[g], g), default=None) for each in toxic for w in each)
+    return Counter(g for g in best if g)
+
+
+def _content(samples: Counter, size: int) -> bytes:
+    """A dictionary's content: all samples, the commonest last, where ``size`` holds them, else what zstandard's trainer picks."""
+    import zstandard as z
+
+    order = sorted(samples, key=lambda x: (samples[x], x))
+    if sum(map(len, order)) <= size:
+        return b"".join(order)
+    return z.train_dictionary(size, [x + _filler[:8] for x in order for _ in range(samples[x])], k=128, d=8).as_bytes()
+
+
+def train_dictionaries(toxic: list[list[str]], ordinary: list[list[str]], least: int = 4, ratio: float = 30.0, size: int = 1 << 16) -> tuple[bytes, bytes]:
+    """(ordinary, toxic) dictionary contents from documents' windows; the toxic one ends with the ordinary one."""
+    counted = [Counter(f" {w} " for each in ordinary for w in each), toxic_beginnings(toxic, ordinary, least, ratio)]
+    plain, marks = (Counter({spread(x): n for x, n in c.items()}) for c in counted)
+    plain = _content(plain, size) + _filler
+    return plain, _content(marks, size // 4) + plain
 
 
 class Distance:
-    """Bytes by which the toxic dictionary shortens each window; keeps at most ``most`` windows."""
+    """By how much the toxic dictionary shortens each window.
+
+    Two tables of at most ``most`` windows: a full one becomes the older, and what is still in use moves back.
+    """
 
-    def __init__(self, ordinary: bytes, toxic: bytes, most: int = 500_000):
+    def __init__(self, ordinary: bytes, toxic: bytes, most: int = 400_000):
         import zstandard as z
 
         def compressor(content: bytes):
-            # a marker's place must not matter, so the search is exhaustive for so small a dictionary
             how = z.ZstdCompressionParameters(
-                format=z.FORMAT_ZSTD1_MAGICLESS, window_log=20, hash_log=17, chain_log=18, search_log=11, min_match=4, target_length=64,
-                strategy=z.STRATEGY_BTULTRA, write_content_size=False, write_checksum=False, write_dict_id=False,
+                format=z.FORMAT_ZSTD1_MAGICLESS, window_log=20, hash_log=17, chain_log=18, search_log=7, min_match=4, target_length=64,
+                strategy=z.STRATEGY_BTOPT, write_content_size=False, write_checksum=False, write_dict_id=False,
             )
             return z.ZstdCompressor(dict_data=z.ZstdCompressionDict(content, dict_type=z.DICT_TYPE_RAWCONTENT), compression_params=how)
 
         self.ordinary, self.toxic, self.most = compressor(ordinary), compressor(toxic), most
+        self.least = len(self.ordinary.compress(_filler))
         self.table: dict[str, int] = {}
+        self.older: dict[str, int] = {}
+
+    def gain(self, window: str) -> int:
+        """Twentieths of the window's ordinary length by which the toxic dictionary shortens it."""
+        x = spread(f" {window} ") + _filler
+        ordinary = len(self.ordinary.compress(x))
+        return max(0, min(20, 20 * (ordinary - len(self.toxic.compress(x))) // max(1, ordinary - self.least)))
 
     def steps(self, text: str | None) -> tuple[np.ndarray, int]:
         """(how many windows gain at least each step, how many windows)."""
         each = windows(text)
-        if new := set(each).difference(self.table):
-            for w in new:
-                window = _spread(f" {w} ") + _filler
-                self.table[w] = max(0, min(9, len(self.ordinary.compress(window)) - len(self.toxic.compress(window))))
-        gain = np.bincount(np.fromiter(map(self.table.__getitem__, each), np.int64, len(each)), minlength=10)
+        for w in set(each).difference(self.table):
+            found = self.older.get(w)
+            self.table[w] = self.gain(w) if found is None else found
+        gain = np.bincount(np.fromiter(map(self.table.__getitem__, each), np.int64, len(each)), minlength=21)
         if len(self.table) > self.most:
-            self.table = {}
+            self.older, self.table = self.table, {}
         return gain[::-1].cumsum()[::-1][list(_STEPS)], max(1, len(each))
 
 
+@cache
+def _kept(ordinary: bytes, toxic: bytes) -> Distance:
+    """A worker's tables last for as many tasks as it runs; one pair of dictionaries at a time."""
+    return Distance(ordinary, toxic)
+
+
 def _features(steps: np.ndarray, n: int) -> np.ndarray:
     return np.concatenate([[1, math.log(n)], np.log1p(steps), np.log((steps + 0.3) / (n + 30))])
 
 
 class Model:
-    """Dictionaries and the fitted threshold; small enough to go with a task."""
+    """Dictionaries and the calibrated threshold; small enough to go with a task."""
 
     def __init__(self, sample: list[tuple[str, int]]):
         self.fitted = len({label for _, label in sample}) == 2
         if not self.fitted:
             return
-        self.ordinary, self.toxic = train_dictionaries(sample)
-        distance = Distance(self.ordinary, self.toxic)
-        x = np.array([_features(*distance.steps(text)) for text, _ in sample])
-        y = np.array([label for _, label in sample], float)
+        rows = _unlike(sample)
+
+        def train(fold=None):
+            known = [(w, label) for k, (w, (_, label)) in enumerate(zip(rows, sample, strict=True)) if w is not None and k % _FOLDS != fold]
+            return train_dictionaries([w for w, label in known if label], [w for w, label in known if not label])
+
+        self.ordinary, self.toxic = train()
+        x, y = [], []
+        for fold in range(_FOLDS):
+            distance = Distance(*train(fold))
+            for text, label in sample[fold::_FOLDS]:
+                x.append(_features(*distance.steps(text)))
+                y.append(float(label))
+        x, y = np.array(x), np.array(y)
         self.mean, self.scale = x.mean(axis=0), x.std(axis=0) + 1e-9
         self.mean[0], self.scale[0] = 0, 1
         x = (x - self.mean) / self.scale
@@ -147,13 +174,19 @@ class Model:
             p = 1 / (1 + np.exp(-x @ self.weights))
             self.weights -= np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 0.5 * np.eye(x.shape[1]), x.T @ (p - y) + 0.5 * self.weights)
 
-    def scores(self, distance: Distance, texts: list[str | None]) -> list[float]:
-        rows = np.array([_features(*distance.steps(t)) for t in texts]).reshape(len(texts), -1)
-        return (1 / (1 + np.exp(-((rows - self.mean) / self.scale) @ self.weights))).tolist() if texts else []
+    def scores(self, texts: list[str | None]) -> list[float]:
+        if not self.fitted or not texts:
+            return [0.0] * len(texts)
+        if _kept.cache_info().currsize > 1:
+            _kept.cache_clear()
+        distance = _kept(self.ordinary, self.toxic)
+        rows = np.array([_features(*distance.steps(t)) for t in texts])
+        return (1 / (1 + np.exp(-((rows - self.mean) / self.scale) @ self.weights))).tolist()
 
 
 def fit_on(docs: DataFrame, labels: DataFrame, allowed: Column, sample_docs: int = 2000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """Fit on about ``sample_docs`` whole documents of each label, taken by hash of the id among ``allowed``."""
+    bounded_batches(docs.sparkSession)
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).cast("int").alias("label")).where(allowed)
     sizes = {r[0]: r[1] for r in known.groupBy("label").count().collect()}  # two rows
     if len(sizes) < 2:
@@ -161,26 +194,12 @@ def fit_on(docs: DataFrame, labels: DataFrame, allowed: Column, sample_docs: int
     share = F.when(F.col("label") == 1, sample_docs / sizes[1]).otherwise(sample_docs / sizes[0])
     taken = known.where(F.pmod(F.xxhash64(F.col(id_col), F.lit(9)), F.lit(1 << 20)) < share * (1 << 20))
     # the sample is bounded by sample_docs, so it may be broadcast
-    rows = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("__text")).join(F.broadcast(taken), id_col).select(id_col, "__text", "label")
-    sample = sorted(((r[0], r[1] or "", r[2]) for r in rows.collect()))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(taken.withColumnRenamed(id_col, "id")), "id").select("id", "text", "label")
+    sample = sorted((r[0], r[1] or "", r[2]) for r in rows.collect())
     return Model([(text, label) for _, text, label in sample])
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), name: str = "score") -> DataFrame:
     """Columns ``keep`` with a score of 0 to 1, called ``name``."""
-    bounded_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # two dictionaries of some hundred kB
-
-    def run(batches):
-        import pyarrow as pa
-
-        fitted = shared.value
-        distance = Distance(fitted.ordinary, fitted.toxic) if fitted.fitted else None
-        for batch in batches:
-            texts = batch.column(0).to_pylist()
-            values = fitted.scores(distance, texts) if distance else [0.0] * len(texts)
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(values, pa.float64())], names=[*batch.schema.names[1:], name])
-
-    rows = docs.select(F.col(text_col).cast("string").alias("__text"), *keep)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:])
-    return rows.mapInArrow(run, f"{schema}, `{name}` double")
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # two dictionaries of some ten kB
+    return attach(docs, F.col(text_col), keep, f"`{name}` double", lambda texts: [shared.value.scores(texts)])
