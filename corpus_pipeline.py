@@ -41,7 +41,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents that score as toxic; the labels of the documents at hand are learned from."""
     model = toxicity.fit_on(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), F.lit(True))
     score = _free(docs, "score")
-    return toxicity.score(docs, model, keep=tuple(_fit_columns(docs)), name=score).where(F.col(score) < TOXIC_SCORE).select(*_fit_columns(docs))
+    return toxicity.score(docs, model, keep=tuple(docs.columns), name=score).where(F.col(score) < TOXIC_SCORE).select(*_fit_columns(docs))
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
