@@ -59,12 +59,15 @@ def test_nearest(spark):
 
 def test_overlap_mapping_equals_all_permutations():
     draw = random.Random(3)
-    for k in (0, 1, 3, 5):
-        for _ in range(20):
+    for k in (0, 1, 3, 5, 7):
+        for _ in range(20 if k < 7 else 3):
             m = [[draw.randrange(4) for _ in range(k)] for _ in range(k)]
             want = max((sum(m[i][j] for i, j in enumerate(p)), p) for p in itertools.permutations(range(k)))[1]
             assert tuple(metrics.overlap_mapping(m)) == want
+    # fixed values: overlaps and the mapping expected of them
     assert metrics.overlap_mapping([[0, 5, 0], [0, 0, 7], [9, 0, 0]]) == [1, 2, 0]
+    many = [[draw.randrange(100) for _ in range(64)] for _ in range(64)]
+    assert sorted(metrics.overlap_mapping(many)) == list(range(64))
 
 
 def _robin(rows, n, salt):
