@@ -5,12 +5,15 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import struct
+import time
 import zlib
 from collections import Counter
 
 import duckdb
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from tessera.llm import binary_output, decontamination, fingerprints, graph, html_text, language_id, licenses, near_duplicates, packing, queries, token_counts, toxicity
@@ -147,6 +150,35 @@ def test_neighbours_share_rare_terms():
     assert 3 not in shard.neighbours(0)
 
 
+def test_neighbours_equal_plain_bm25():
+    rng = np.random.default_rng(4)
+    docs = [rng.choice(60, rng.integers(5, 40), p=np.arange(60, 0, -1) / 1830) for _ in range(50)]
+    shard, df = packing.Bm25Shard([_bytes(d) for d in docs], query_terms=4), Counter(t for d in docs for t in set(d.tolist()))
+    mean = sum(map(len, docs)) / len(docs)
+
+    def bm25(terms, d):
+        tf = Counter(d.tolist())
+        return sum(np.log1p((50 - df[t] + 0.5) / (df[t] + 0.5)) * tf[t] * 2.2 / (tf[t] + 1.2 * (0.25 + 0.75 * len(d) / mean)) for t in terms)
+
+    for seed in range(0, 50, 7):
+        shard.free[seed] = False
+        terms = sorted({t for t in docs[seed].tolist() if df[t] > 1}, key=lambda t: df[t])
+        found = shard.neighbours(seed).tolist()
+        cut = df[terms[min(4, len(terms)) - 1]]
+        if len(terms) <= 4 or df[terms[4]] > cut:  # no tie at the last query term
+            scores = {k: bm25(terms[:4], d) for k, d in enumerate(docs) if shard.free[k] and set(terms[:4]) & set(d.tolist())}
+            assert set(found) == set(scores) and all(scores[a] > scores[b] - 1e-9 for a, b in zip(found, found[1:], strict=False))
+
+
+def test_windows_take_the_best_unused_neighbour():
+    ids = [_bytes([1, 2, 3, 900 + k]) if k % 2 else _bytes([5, 6, 7, 950 + k]) for k in range(8)]
+    pieces, _ = packing._pieces(ids, 16, 0)
+    windows = {}
+    for d, *_, sequence, _, seed in pieces:
+        windows.setdefault(sequence, set()).add(d % 2)
+    assert all(len(x) == 1 for x in windows.values())
+
+
 def test_neighbours_by_common_terms_follow():
     ids = [_bytes([*range(100, 120), 1, 2]), _bytes([*range(100, 120), 3]), _bytes([1, 2, 4])] + [_bytes([1, 2, 900 + k]) for k in range(3)]
     shard = packing.Bm25Shard(ids)
@@ -205,6 +237,61 @@ def test_fingerprints_do_not_depend_on_partitions(spark):
     assert sum(r[5] > r[6] for r in one) > 0.9 * len(one)
 
 
+def _xxhash(*values):
+    """Spark's hash of a row of strings and numbers: each hash is the next one's seed."""
+    h = 42
+    for v in values:
+        h = xxhash.xxh64_intdigest(v if isinstance(v, bytes) else v.encode() if isinstance(v, str) else struct.pack("<i", v[0]) if isinstance(v, tuple) else struct.pack("<q", v), h)
+    return h - (1 << 64) if h >= 1 << 63 else h
+
+
+def _components(terms):
+    out = [_xxhash(*terms) if terms else None] if terms else []
+    for family in range(fingerprints.FAMILIES if terms else 0):
+        for level in range(1, fingerprints.LEVELS + 1):
+            kept = [t for t in terms if _xxhash(t, (family,)) & (4**level - 1) == 0]
+            out.append(_xxhash(*kept) if kept else None)
+    return out
+
+
+def test_components_equal_a_plain_count(spark, odd):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").unionByName(odd.where("doc_id <> 7").select((F.col("doc_id") + 100_000).alias("doc_id"), "text"))
+    rows = sorted((r[0], r[1] or "") for r in docs.collect())
+    words = [{w for w in re.split(fingerprints.BETWEEN_WORDS, t.lower()) if w} for _, t in rows]
+    df = Counter(w for each in words for w in each)
+    band = {w for w, n in df.items() if max(2, 1e-5 * len(rows)) <= n <= max(2, 0.1 * len(rows))}
+
+    def plain(each):
+        return _components(sorted(_xxhash(w) for w in (each & band or each)))
+
+    got = fingerprints.fingerprints(docs).collect()
+    own = [plain(each) for each in words]
+    show = lambda c: "".join("...." if x is None else f"{x & 0xFFFF:04x}" for x in c)
+
+    def like(a, b):
+        if not a or not b:
+            return float(len(a) == len(b))
+        either = [x == y for x, y in zip(a, b, strict=True) if x is not None or y is not None]
+        return sum(either) / len(either)
+
+    by = {r["doc_id"]: r for r in got}
+    wrong = 0
+    for k, (doc_id, text) in enumerate(rows):
+        following = rows[(k + 1) % len(rows)][1]
+        half = len(text) // 2
+        edited = plain({w for w in re.split(fingerprints.BETWEEN_WORDS, (text[: len(text) - half] + following[:half]).lower()) if w})
+        r = by[doc_id]
+        want = (show(own[k]), show(edited), like(own[k], edited), like(own[k], own[(k + 1) % len(rows)]))
+        wrong += not (r["fingerprint"] == want[0] and r["edited_fingerprint"] == want[1] and abs(r["near_edited"] - want[2]) < 1e-9 and abs(r["near_next"] - want[3]) < 1e-9)
+    # about one in a thousand rare terms outside of the band passes its filter
+    assert wrong <= 0.1 * len(rows)
+    lex = fingerprints.lexicon(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "text", 2, 1e-5, 0.1)
+    longs = list(map(int, lex.bitmap.split(",")))
+    slots = {w: (_xxhash(w) & (1 << lex.slot_bits) - 1, (_xxhash(w) & (1 << 64) - 1) >> 64 - lex.slot_bits) for w in df}
+    taken = {w for w, each in slots.items() if all(longs[s >> 6] >> (s & 63) & 1 for s in each) and _xxhash(w) not in lex.frequent}
+    assert band <= taken and len(taken - band) <= len(df) / 200
+
+
 # --- near duplicates -------------------------------------------------------------------------------
 
 def _sets(rows):
@@ -253,9 +340,33 @@ def test_near_duplicates_equal_brute_force(spark, odd, empty):
     assert near_duplicates.near_duplicates(empty).collect() == []
 
 
+def test_chains_of_near_copies_stay_linear(spark):
+    rng, n = random.Random(8), 3000
+    words = [f"w{rng.randrange(10**6)}" for _ in range(40 + 6 * n)]
+    rows = [(k, " ".join(words[6 * k : 6 * k + 46])) for k in range(n)]  # 42 shingles, 36 shared with the next: 0.75
+    rows = [(2 * i, t) for i, t in rows] + [(2 * i + 1, t + " end") for i, t in rows]  # and a near copy each
+    got = near_duplicates.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert all(r["n_links"] == 1 and r["class_id"] == r["doc_id"] // 2 * 2 for r in got)
+
+
+def test_cells_verify_each_pair_once():
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 1 << 60, 200, np.uint64)
+    sets = [np.unique(np.concatenate([rng.choice(base, 170 + k % 30, replace=False), rng.integers(0, 1 << 60, k % 7, np.uint64)])) for k in range(40)]
+    bands, nodes, ones = rng.integers(0, 3, (40, 4)), np.arange(100, 140), np.ones(40, np.int64)
+    links = Counter()
+    for band in range(4):
+        for node, n, _ in near_duplicates._verify(nodes, np.full(40, 2), ones, bands, sets, band, 0.8):
+            links[node, band] += n
+    for band in range(4):
+        for a in range(40):
+            want = sum(a != b and not (bands[a, :band] == bands[b, :band]).any() and len(np.intersect1d(sets[a], sets[b])) >= 0.8 * len(np.union1d(sets[a], sets[b])) - 1e-9 for b in range(40))
+            assert links[100 + a, band] == want
+
+
 def test_bands_and_components(spark):
-    bands, rows = near_duplicates.choose_bands(0.8, 0.995)
-    assert 1 - (1 - 0.8**rows) ** bands >= 0.995 and bands * rows <= 128
+    bands, rows = near_duplicates.choose_bands(0.8, 0.9999)
+    assert near_duplicates.recall_at(0.8, bands, rows) >= 0.9999 and bands * rows <= 160
     chain = [(k, k + 1) for k in range(50)] + [(200, 100), (100, 200), (7, 7)]
     got = dict(map(tuple, graph.connected_components(spark.createDataFrame(chain, "a long, b long")).collect()))
     assert got == {k: 0 for k in range(51)} | {100: 100, 200: 100}
@@ -303,6 +414,17 @@ def test_decontamination_equals_brute_force(spark, odd, empty):
     assert all(not r["item_ids"] for r in decontamination.find_contamination(d, b.limit(0)).collect())
 
 
+def test_long_texts_and_odd_columns_are_searched_whole(spark):
+    item = "the quick brown fox jumps over the lazy dog while seven wizards watch from the old stone bridge"
+    docs = [(1, LONG + item.replace("fox", "fix") + LONG), (2, LONG), (3, item.upper() + "!"), (4, None)]
+    d = spark.createDataFrame(docs, SCHEMA).withColumns({"a.b": F.lit(1), "__text": F.lit("x"), "m": F.create_map(F.lit(1), F.lit(2))})
+    b = spark.createDataFrame([(k, item if k == 7 else f"another item number {k} that no document holds at all") for k in range(40)], "item_id long, text string")
+    assert {r["doc_id"]: r["item_ids"] for r in decontamination.find_contamination(d, b).collect()} == {1: [7], 2: [], 3: [7], 4: []}
+    for size in (8 << 20, 2000):  # one pass, several
+        clean = decontamination.find_contamination(d, b, keep=True, shard_bytes=size)
+        assert clean.schema.simpleString() == d.schema.simpleString() and sorted(r["doc_id"] for r in clean.collect()) == [2, 4]
+
+
 def test_short_items_have_their_true_budget():
     random.seed(6)
     letters = "abcdefgh "
@@ -345,6 +467,28 @@ def test_rollup_is_idempotent(spark, tmp_path, tokenizer):
     assert set(map(tuple, rollup.totals().collect())) == {("a", "en", "v1", 2, 7)}
 
 
+def test_totals_outlive_a_compaction_and_writers_do_not_race(spark, tmp_path):
+    one = spark.createDataFrame([("a", "en", 3)], "source string, lang string, tokens long")
+    rollup = token_counts.Rollup(spark, f"file://{tmp_path}/r")
+    assert rollup.apply("first", token_counts.signed(one, 1, "v1"))
+    lazy = rollup.totals()
+    assert rollup.compact() and [tuple(r) for r in lazy.collect()] == [("a", "en", "v1", 1, 3)]
+    assert not rollup.apply("first", token_counts.signed(one, 1, "v1"))
+    assert rollup.apply("second", token_counts.signed(one, 1, "v1")) and not rollup._commit("batches", "second", token_counts.signed(one, 1, "v1").write.parquet)
+    again = rollup.totals()
+    assert rollup.compact() and [tuple(r) for r in again.collect()] == [tuple(r) for r in rollup.totals().collect()] == [("a", "en", "v1", 2, 6)]
+    assert rollup._committed("batches") == ["second"] and len(rollup._committed("snapshots")) == 2
+    assert rollup.apply("third", token_counts.signed(one, -1, "v1")) and [tuple(r) for r in rollup.totals().collect()] == [("a", "en", "v1", 1, 3)]
+    assert not rollup.apply("second", token_counts.signed(one, 1, "v1"))
+
+
+def test_counts_of_odd_rows(spark, odd, empty, tokenizer):
+    clash = odd.withColumns({"__text": F.lit("x"), "a.b": F.create_map(F.lit(1), F.lit(2)), "tokens_": F.lit(1)})
+    got = token_counts.with_counts(clash, BPE, ["doc_id", "__text", "a.b"]).collect()
+    assert Counter((r[0], r[1], r[3]) for r in got) == Counter((i, "x", len(_ids(tokenizer, t, 0)) - 1) for i, t in ODD)
+    assert token_counts.with_counts(empty, BPE, ["doc_id"]).collect() == []
+
+
 def test_counts_query_equals_a_plain_count(spark, tokenizer):
     docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
     first, want = {}, {}
@@ -387,6 +531,23 @@ def test_forward_sums_all_segmentations():
     assert np.allclose(got, [total("▁" + w) for w in batch], rtol=1e-9)
 
 
+def test_numerals_are_no_letters(spark):
+    assert language_id.words("²½ ① Ⅷ 12") == [] and language_id.words("a²b x½ É") == ["a", "b", "x", "é"]
+    model = language_id.fit({"en": {"the": 5}, "de": {"der": 5}}, PIECES)
+    docs = spark.createDataFrame([(1, "²½ ①"), (2, "Ⅷ"), (3, "the²")], SCHEMA)
+    assert {r[0]: r[1] for r in language_id.identify(docs, model, PIECES).collect()} == {1: "und", 2: "und", 3: "en"}
+
+
+def test_scores_of_texts_equal_plain_sums():
+    counts = {"en": {"the": 50, "dog": 10, "barks": 3}, "de": {"der": 50, "hund": 9, "bellt": 4}}
+    languages, p = language_id.fit(counts, PIECES)
+    scorer, text = language_id.Scorer(PIECES, p), "The dog, der Hund: barks the qx9z! " + "dog " * 3000
+    each = language_id.words(text)
+    lattices = {w: language_id.Lattice([w], PIECES) for w in set(each)}
+    want = sum(np.log(np.maximum(lattices[w].forward(p)[lattices[w].length, [0]][0], 1e-300)) for w in each)
+    assert languages == ["de", "en"] and np.allclose(scorer.score([text])[0], want)
+
+
 def test_language_of_held_out_documents(spark, odd, empty):
     rows = queries.op5_language(spark, "/root/testdata/sf0.01").collect()
     lang = dict(map(tuple, spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang").collect()))
@@ -414,6 +575,16 @@ def test_licences_equal_sql(spark, odd, empty):
     assert licenses.scan(empty).collect() == []
 
 
+def test_longer_licence_texts_equal_sql(spark):
+    rng, words = random.Random(4), "the a of license version 2 3 gnu general public cc by nc free software copy".split()
+    texts = [" ".join(rng.choices(words, k=60)) for _ in range(200)] + [t.title() + "!" for t in licenses.TEXTS.values()]
+    texts += [f"x y {t}. {' '.join(t.split()[:-3])}" for t in licenses.TEXTS.values()] + [" ".join(t.split()[2:]) for t in licenses.TEXTS.values()] + ["cc by nc by nc cc by nc " * 2000, "cc by", ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), SCHEMA)
+    documents = docs.toPandas()  # noqa: F841  DuckDB reads it
+    got = sorted(map(tuple, licenses.scan(docs).collect()))
+    assert got == sorted(duckdb.sql(licenses.scan_sql()).fetchall()) and sum(r[8] == 1 for r in got) >= 2 * len(licenses.TEXTS)
+
+
 # --- pages -----------------------------------------------------------------------------------------
 
 def _page(body, nav="Home About"):
@@ -448,6 +619,36 @@ def test_template_depends_on_the_share_alone(spark):
     assert all(got[10000 + k] == "The same text" and got[20000 + k] == "A page copied" for k in range(1001))
 
 
+def test_copies_of_a_page_keep_their_text(spark):
+    page = "<html><body><div><h1>A page</h1><p>copied often</p></div></body></html>"
+    near = lambda k: f"<body><div><div><p>All of the long text is the same here</p></div><i>{k}</i></div></body>"
+    pages = [(k, "http://a.com", page) for k in range(6)] + [(10 + k, "http://b.com", near(k)) for k in range(6)]
+    got = {r["page_id"]: r["text"] for r in html_text.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert all(got[k] == "A page copied often" for k in range(6)) and all(got[10 + k] == f"All of the long text is the same here {k}" for k in range(6))
+
+
+def test_names_and_articles():
+    text = html_text.main_text
+    assert text('<div class="page has-sidebar"><article><p>Own text 0.</p></article></div>') == "Own text 0."
+    assert text("<div id='page-header-fixed'><main><p>in main</p></main></div>") == "in main"
+    assert text("<main><section class='social-science'><p>para</p></section></main>") == "para"
+    assert text("<article><p>AA</p></article><article><p>BB</p></article>") == "AA BB"
+    assert text("<article><p>A</p></article><div class=comments><article><p>nice!</p></article></div><article class='comment'>x</article>") == "A"
+    assert text("<div class='site-nav'>no</div><div class=cookie-banner>no</div><aside>no</aside><p>yes") == "yes"
+
+
+def test_markup():
+    text = html_text.main_text
+    assert text("<p class=it's>Hello</p>") == "Hello" and text("a < b &lt; c") == "a < b < c"
+    assert text("x<!-- c --> y<!-- z") == "x y" and text("<a title='x>y' b=\"q>r\">t</a>") == "t" and text("<b title='x>t</b>") == "t"
+    for bad in ("<a title='" + "<b " * 350_000, '<a b="' * 200_000, "<p" * 400_000, "<!--" * 250_000, "<script>" * 120_000, "<a =" * 200_000):
+        began = time.monotonic()
+        text(bad)
+        assert time.monotonic() - began < 3
+    deep = "<i><div>" + "<b>" * 100_000 + "</i>" * 100_000 + "end"
+    assert text(deep, {1}) == "end"
+
+
 # --- toxicity --------------------------------------------------------------------------------------
 
 def test_toxicity_on_held_out_rows(spark, odd, empty):
