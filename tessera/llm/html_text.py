@@ -1,19 +1,23 @@
 """Main text of web pages: subtrees that a host repeats across its pages are its template and go.
 
-1. A task parses each page and hashes its element subtrees.  (host, hash) pairs are counted in Spark, each page
-   once, with partial sums, so a host with a third of all pages is no hot group.
-2. Subtrees on at least ``share`` and ``least`` of a host's pages make its template, whatever the host's size.  How many
+1. A task parses each page and hashes its element subtrees.  Pages of a host that are equal throughout count once; (host, hash)
+   pairs of the others are counted in Spark with partial sums, so a host with a third of all pages is no hot group.
+2. Subtrees on at least ``share`` and ``least`` of a host's distinct pages make its template, whatever the host's size.  How many
    there can be per host is bounded by elements per page / share.  The page itself, ``html`` and ``body`` are never template.
 3. Pages are read again with their host's template: its subtrees are deleted, and so are elements that the contract
    excludes by their tags, roles or names (menus, headers, footers, forms, scripts, comments, ...).  Inside
    an article only containers can be template, so a short paragraph that several articles share stays; inline
-   elements are never deleted alone.
+   elements are never deleted alone, nor is a subtree with more than half of the page's text.  A name counts as a whole, or in parts if
+   the other parts only say where it stands; neither name nor
+   role drops a page's first ``article`` or ``main`` or what holds it; later ones may be readers' comments.
 
-The article is the ``<article>`` or ``<main>`` with the most text, nested ones included, else the whole body.  Blocks are
+The article is all outermost ``<article>`` and ``<main>`` elements together, else the whole body.  Blocks are
 joined by a space in page order; white space inside a block is one space; references are decoded.
 
 Defined results: null or empty html gives an empty text; a null or unparsable url is a host of its own (empty);
-repeated rows count as pages; an empty table gives no row; other columns are not read.
+repeated rows count as one page; a page of which template removal leaves nothing keeps its template; an attribute's quote that never
+closes ends with its tag, and a tag that never closes ends the page; time is linear in a page's length, however it is nested; an empty
+table gives no row; other columns are not read.
 """
 
 from __future__ import annotations
@@ -24,6 +28,7 @@ from html import unescape
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from .common import BROADCAST_BYTES, bounded_batches, written
 
@@ -40,13 +45,19 @@ NAMES = frozenset(
     "toolbar share sharing social related recommended recommendations comment comments commentlist disqus respond reply replies pagination pager skip search searchbox".split()
 )
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
+#: Parts of a name that say where or how an element stands, not what it is.
+PLACES = frozenset("site page main top bottom left right upper lower global primary secondary inner outer box block bar area section wrapper wrap container list slot unit panel item items fixed sticky mobile desktop".split())
+
+_TAG = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+_STOP = re.compile(r"[>=]")
 _ATTRIBUTE = re.compile(r"(?:^|[\s\"'/])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _SPACE = re.compile(r"\s+")
-_NAME = re.compile(r"[a-z]+")
+_PART = re.compile(r"[-_:]+")
+_BLANK = re.compile(r"\s*")
 _HOST = re.compile(r"^\s*(?:[a-z][a-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", re.I)
 #: The page as a whole, which copies of one page repeat.
 WHOLE = frozenset(("#", "html", "body"))
+_PARTS = 16  #: into which a host's template candidates are dealt
 #: An element that begins closes these, up to the ancestor that holds them.
 _CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _CLOSE_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol pre section table ul".split())
@@ -54,72 +65,119 @@ _SCOPE = frozenset("article section div ul ol dl table body main nav header foot
 
 
 class Node:
-    __slots__ = ("tag", "dropped", "children", "digest")
+    __slots__ = ("tag", "dropped", "named", "children", "digest", "size")
 
-    def __init__(self, tag: str, dropped: bool):
-        self.tag, self.dropped, self.children, self.digest = tag, dropped, [], 0
+    def __init__(self, tag: str, dropped: bool = False, named: bool = False):
+        self.tag, self.dropped, self.named, self.children, self.digest, self.size = tag, dropped, named, [], 0, 0
 
 
-def _excluded(tag: str, attributes: str) -> bool:
-    if tag in DROPPED:
+def _names_furniture(name: str) -> bool:
+    """Whether a class or id means what the contract excludes: "nav", "site-nav", "cookie-banner", but not "has-sidebar"."""
+    if name in NAMES:
         return True
-    if not attributes or tag in ("html", "body", "article", "main"):
-        return False
+    parts = [p.rstrip("0123456789") for p in _PART.split(name)]
+    return not NAMES.isdisjoint(parts) and all(not p or p in NAMES or p in PLACES for p in parts)
+
+
+def _excluded_by_name(attributes: str) -> bool:
     for key, a, b, c in _ATTRIBUTE.findall(attributes):
         key, value = key.lower(), (a or b or c).lower()
-        if key in ("class", "id") and not NAMES.isdisjoint(_NAME.findall(value)):
+        if key in ("class", "id") and any(map(_names_furniture, value.split())):
             return True
         if key == "role" and value.strip() in ROLES or key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and "display:none" in value.replace(" ", ""):
             return True
     return False
 
 
+def _tag_end(html: str, at: int, last: dict[str, int]) -> int:
+    """Where the tag whose name ends at ``at`` has its ``>``, or -1.  ``last``: where each kind of quote stands last."""
+    while (m := _STOP.search(html, at)) and m[0] == "=":
+        at = _BLANK.match(html, m.end()).end()
+        if last.get(html[at : at + 1], -1) > at:
+            at = html.index(html[at], at + 1) + 1
+    return m.start() if m else -1
+
+
+class _Open:
+    """The elements that are open, with the places of each tag, so that closing one takes no search."""
+
+    def __init__(self, root: Node):
+        self.nodes, self.places, self.scopes = [root], {}, [0]
+
+    def push(self, node: Node) -> None:
+        self.places.setdefault(node.tag, []).append(len(self.nodes))
+        if node.tag in _SCOPE:
+            self.scopes.append(len(self.nodes))
+        self.nodes.append(node)
+
+    def close(self, tags, anywhere: bool = False) -> None:
+        """Close the innermost element of ``tags`` and what it holds, if no scope stands between."""
+        at = max((self.places[t][-1] for t in tags if self.places.get(t)), default=0)
+        if not at or not anywhere and self.scopes[-1] > at:
+            return
+        while len(self.nodes) > at:
+            gone = self.nodes.pop()
+            self.places[gone.tag].pop()
+            if gone.tag in _SCOPE:
+                self.scopes.pop()
+
+
+def _raw_end(html: str, tag: str, at: int) -> tuple[int, int]:
+    m = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
+    return m.span() if m else (len(html), len(html))
+
+
 def parse(html: str | None) -> Node:
     """A tree of the page; text children are undecoded strings.  Bad markup never fails."""
-    root = Node("#", False)
-    stack, html, at = [root], html or "", 0
-    while True:
-        m = _TOKEN.search(html, at)
-        text = html[at : m.start()] if m else html[at:]
-        if m is None and (cut := text.rfind("<")) >= 0 and re.match(r"</?[a-zA-Z!?]", text[cut:]):
-            text = text[:cut]  # a tag that the page's end cuts off
-        if text:
-            stack[-1].children.append(text)
-        if m is None:
-            break
-        at = m.end()
-        if not m[2]:
+    root, html = Node("#"), html or ""
+    stack, last, at, begin = _Open(root), {q: html.rfind(q) for q in "\"'"}, 0, 0
+    found = False  # an article or main
+
+    def text(end: int) -> None:
+        if end > begin:
+            stack.nodes[-1].children.append(html[begin:end])
+
+    while (at := html.find("<", at)) >= 0:
+        sign = html[at + 1 : at + 2]
+        m = _TAG.match(html, at + 1)
+        if not m and sign not in ("!", "?"):
+            at += 1  # a plain character
+            continue
+        text(at)
+        if not m:
+            comment = html.startswith("<!--", at)
+            end = html.find("-->" if comment else ">", at)
+            at = begin = len(html) if end < 0 else end + (3 if comment else 1)
             continue
+        end = _tag_end(html, m.end(), last)
+        if end < 0:
+            begin = len(html)
+            break
+        attributes, at, begin = html[m.end() : end], end + 1, end + 1
         tag = m[2].lower()
         if m[1]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    del stack[k:]
-                    break
-                if stack[k].tag in _SCOPE and tag not in _SCOPE:
-                    break
+            stack.close((tag,), tag in _SCOPE)
             continue
-        closes = _CLOSES.get(tag) or ({"p"} if tag in _CLOSE_P else None)
-        if closes:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag in closes:
-                    del stack[k:]
-                    break
-                if stack[k].tag in _SCOPE:
-                    break
-        node = Node(tag, _excluded(tag, m[3]))
-        stack[-1].children.append(node)
+        if closes := _CLOSES.get(tag) or ({"p"} if tag in _CLOSE_P else None):
+            stack.close(closes)
+        node = Node(tag, tag in DROPPED, bool(attributes) and tag not in ("html", "body") and _excluded_by_name(attributes))
+        stack.nodes[-1].children.append(node)
+        if not found and tag in ("article", "main"):
+            found = True
+            for x in (node, *stack.nodes):
+                x.named = False
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
-            node.children.append(html[at : end.start() if end else len(html)])
-            at = end.end() if end else len(html)
-        elif tag not in VOID and not m[3].rstrip().endswith("/"):
-            stack.append(node)
+            end, at = _raw_end(html, tag, at)
+            node.children.append(html[begin:end])
+            begin = at
+        elif tag not in VOID and not attributes.rstrip().endswith("/"):
+            stack.push(node)
+    text(len(html))
     return root
 
 
 def digests(root: Node) -> list[Node]:
-    """Gives every element with text the hash of its subtree (tags and text); returns these elements."""
+    """Gives every element with text the hash of its subtree (tags and text) and the size of its text; returns these elements."""
     out, work = [], [(root, False)]
     while work:
         node, done = work.pop()
@@ -127,22 +185,25 @@ def digests(root: Node) -> list[Node]:
             work.append((node, True))
             work += [(c, False) for c in node.children if isinstance(c, Node)]
             continue
-        h, full = xxhash.xxh64(node.tag), False
+        h, full, size = xxhash.xxh64(node.tag), False, 0
         for c in node.children:
             if isinstance(c, str):
                 if c := " ".join(c.split()):
                     h.update("t" + c)
                     full = True
+                    size += len(c)
             elif c.digest:
                 h.update(b"e" + c.digest.to_bytes(8, "little"))
                 full = True
+                size += c.size
         node.digest = h.intdigest() if full else 0
+        node.size = 0 if node.dropped or node.named else size
         if full:
             out.append(node)
     return out
 
 
-def _blocks(root: Node, template: set[int], inside: bool) -> list[str]:
+def _blocks(roots: list[Node], template: set[int], whole: int) -> str:
     out: list[str] = []
     run: list[str] = []
 
@@ -151,14 +212,17 @@ def _blocks(root: Node, template: set[int], inside: bool) -> list[str]:
             out.append(text)
         run.clear()
 
-    work: list = [(root, inside)]
+    def repeated(node, inside):
+        return node.digest in template and node.tag not in INLINE and node.tag not in WHOLE and 2 * node.size <= whole and (not inside or node.tag in CONTAINERS)
+
+    work: list = [(root, False) for root in reversed(roots)]
     while work:
         node, inside = work.pop()
         if node is None:
             close()
         elif isinstance(node, str):
             run.append(node)
-        elif not (node.dropped or node.digest in template and node.tag not in INLINE and node.tag not in WHOLE and (not inside or node.tag in CONTAINERS)):
+        elif not (node.dropped or node.named or repeated(node, inside)):
             inline = node.tag in INLINE
             inside = inside or node.tag in ("article", "main")
             if not inline:
@@ -166,7 +230,7 @@ def _blocks(root: Node, template: set[int], inside: bool) -> list[str]:
                 work.append((None, inside))
             work += [(c, inside) for c in reversed(node.children)]
     close()
-    return out
+    return " ".join(out)
 
 
 def main_text(html: str | None, template: set[int] = frozenset()) -> str:
@@ -177,15 +241,14 @@ def main_text(html: str | None, template: set[int] = frozenset()) -> str:
     tops, work = [], [root]
     while work:
         node = work.pop()
-        if isinstance(node, str) or node.dropped:
+        if isinstance(node, str) or node.dropped or node.named:
             continue
         if node.tag in ("article", "main"):
             tops.append(node)
         else:
-            work += node.children
-    texts = [" ".join(_blocks(x, template, True)) for x in tops]
-    best = max(texts, key=len, default="")
-    return best or " ".join(_blocks(root, template, False))
+            work += reversed(node.children)
+    whole = root.size
+    return _blocks(tops, template, whole) or _blocks([root], template, whole) or template and (_blocks(tops, set(), whole) or _blocks([root], set(), whole)) or ""
 
 
 def host_of(url: str | None) -> str:
@@ -194,37 +257,56 @@ def host_of(url: str | None) -> str:
 
 
 def _subtrees(pages: DataFrame) -> DataFrame:
-    """(host, digest) of each page's distinct subtrees; digest null: the page itself."""
+    """(host, page, digests): hash of the whole page and of its distinct subtrees."""
 
     def run(batches):
-        from collections import Counter
-
         import pyarrow as pa
 
-        schema = pa.schema([("host", pa.string()), ("digest", pa.int64()), ("n", pa.int64())])
+        schema = pa.schema([("host", pa.string()), ("page", pa.int64()), ("digests", pa.list_(pa.int64()))])
         for batch in batches:
-            found: Counter = Counter()
+            host, page, found = [], [], []
             for url, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                host = host_of(url)
-                found[host, None] += 1
-                for x in {node.digest for node in digests(parse(html))}:
-                    found[host, x - (1 << 63)] += 1
-            yield pa.RecordBatch.from_pydict({"host": [k[0] for k in found], "digest": [k[1] for k in found], "n": list(found.values())}, schema=schema)
+                root = parse(html)
+                each = {node.digest - (1 << 63) for node in digests(root)}
+                host.append(host_of(url))
+                page.append(root.digest - (1 << 63))
+                found.append(list(each))
+            yield pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(page, pa.int64()), pa.array(found, pa.list_(pa.int64()))], schema=schema)
+
+    return pages.mapInArrow(run, "host string, page long, digests array<long>")
+
+
+def _with_host(pages: DataFrame) -> DataFrame:
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(map(host_of, batch.column(1).to_pylist()), pa.string())], names=[*batch.schema.names, "host"])
+
+    return pages.mapInArrow(run, StructType([*pages.schema.fields, StructField("host", StringType())]))
+
 
-    return pages.mapInArrow(run, "host string, digest long, n long")
+def site_templates(pages: DataFrame, share: float, least: int) -> DataFrame:
+    """(host, template): hashes of the subtrees on at least ``share`` of a host's distinct pages and on ``least``."""
+    distinct = _subtrees(pages).groupBy("host", "page").agg(F.first("digests").alias("digests"))
+    # the page itself goes along as a null
+    each = distinct.select("host", F.explode(F.concat(F.array(F.lit(None).cast("long")), "digests")).alias("digest"))
+    counts = written(each.groupBy("host", "digest").agg(F.count(F.lit(1)).alias("n")).where(f"digest IS NULL OR n >= {least}"), "subtrees")
+    # a host's candidates are dealt over parts, and each part brings them together before the host does
+    hosts = counts.where("digest IS NULL").select("host", F.col("n").alias("pages"), F.explode(F.sequence(F.lit(0), F.lit(_PARTS - 1))).alias("part"))
+    found = counts.where("digest IS NOT NULL").withColumn("part", F.pmod("digest", F.lit(_PARTS)).cast("int")).join(hosts, ["host", "part"])
+    parts = found.where(F.col("n") >= F.col("pages") * share).groupBy("host", "part").agg(F.collect_list("digest").alias("template"))
+    return written(parts.groupBy("host").agg(F.flatten(F.collect_list("template")).alias("template")), "templates")
 
 
 def extract(pages: DataFrame, share: float = 0.2, least: int = 5, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row a page: page_id, url, text, n_chars.
 
-    A subtree is template if it is on at least ``share`` of the host's pages and on ``least`` pages.
+    A subtree is template if it is on at least ``share`` of the host's distinct pages and on ``least`` of them.
     """
     bounded_batches(pages.sparkSession, 500)
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
-    counts = written(_subtrees(rows.select("url", "html")).groupBy("host", "digest").agg(F.sum("n").alias("n")).where(f"digest IS NULL OR n >= {least}"), "subtrees")
-    hosts = counts.where("digest IS NULL").select("host", F.col("n").alias("pages"))
-    often = counts.where("digest IS NOT NULL").join(hosts, "host").where(F.col("n") >= F.col("pages") * share)
-    templates = written(often.groupBy("host").agg(F.collect_list("digest").alias("template")), "templates")
+    templates = site_templates(rows.select("url", "html"), share, least)
     size = templates.agg(F.sum(F.size("template") * 8 + F.length("host") + 16)).first()[0] or 0
 
     def run(batches):
@@ -243,6 +325,5 @@ def extract(pages: DataFrame, share: float = 0.2, least: int = 5, id_col: str =
     if size <= BROADCAST_BYTES // 4:  # checked; beyond that the templates are joined
         shared = pages.sparkSession.sparkContext.broadcast({r[0]: frozenset(r[1]) for r in templates.collect()})
     else:
-        host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), _HOST.pattern.replace("^", "(?i)^"), 1))
-        rows = rows.withColumn("host", host).join(templates.hint("merge"), "host", "left").select("page_id", "url", "html", "template")
+        rows = _with_host(rows).join(templates.hint("merge"), "host", "left").select("page_id", "url", "html", "template")
     return rows.mapInArrow(run, f"page_id {rows.schema['page_id'].dataType.simpleString()}, url string, text string, n_chars long")
