@@ -2,24 +2,25 @@
 
 Every change is a signed row: an insert adds a document and its tokens, a delete takes them away, a revised count takes the
 old one away and adds the new.  A batch is summed up by key before it is stored, so the store grows with keys x
-batches and never with documents.  A batch's folder counts once Spark's commit mark is in it; a batch that is
-applied again is left as it is, and one that was cut off is written anew: commits are idempotent.  Compaction folds
-committed batches into a snapshot that names them, so a batch it holds isn't added twice.
+batches and never with documents.  A batch is written aside and takes its name by a rename that fails if the name is taken, so
+commits are idempotent, whoever writes.  Compaction folds committed batches into a snapshot that names them, so a batch it holds isn't
+added twice; folders that it makes superfluous go with the next compaction, so readers of older totals aren't cut off.
 
 Defined results: a null text has no tokens; a null source, language or version is a key of its own; keys whose
-documents and tokens are all gone are left out; repeated rows count as often as they come; an empty batch commits;
+documents and tokens are all gone are left out; repeated rows count as often as they come; a very long text costs in proportion; an empty batch commits;
 other columns are not read.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import attach
 from .tokens import ChunkEncoder
 
 KEYS = ["source", "lang", "version"]
@@ -28,18 +29,7 @@ SCHEMA = "source string, lang string, version string, documents long, tokens lon
 
 def with_counts(docs: DataFrame, tokenizer: str, keep: list[str], text_col: str = "text", name: str = "tokens") -> DataFrame:
     """Columns ``keep`` and the number of the tokenizer's ids of each whole text."""
-    bounded_batches(docs.sparkSession)
-
-    def run(batches):
-        import pyarrow as pa
-
-        encoder = ChunkEncoder.of(tokenizer)
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(encoder.counts(batch.column(0).to_pylist()), pa.int64())], names=[*batch.schema.names[1:], name])
-
-    rows = docs.select(F.col(text_col).cast("string").alias("__text"), *keep)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:])
-    return rows.mapInArrow(run, f"{schema}, `{name}` long")
+    return attach(docs, F.col(text_col), keep, f"`{name}` long", lambda texts: [ChunkEncoder.of(tokenizer).counts(texts)])
 
 
 def signed(counts: DataFrame, sign: int, version: str | Column, tokens: str = "tokens") -> DataFrame:
@@ -58,48 +48,80 @@ class Rollup:
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
-        path = spark._jvm.org.apache.hadoop.fs.Path
-        self._path = path
-        self._fs = path(self.folder).getFileSystem(spark._jsc.hadoopConfiguration())
+        hadoop = spark._jvm.org.apache.hadoop.fs
+        self._path = hadoop.Path
+        self._fs = hadoop.Path(self.folder).getFileSystem(spark._jsc.hadoopConfiguration())
+        self._files = hadoop.FileContext.getFileContext(self._fs.getUri(), spark._jsc.hadoopConfiguration())
 
     def _committed(self, kind: str) -> list[str]:
         top = self._path(f"{self.folder}/{kind}")
-        if not self._fs.exists(top):
-            return []
-        names = [s.getPath().getName() for s in self._fs.listStatus(top)]
-        return sorted(n for n in names if self._fs.exists(self._path(f"{self.folder}/{kind}/{n}/_SUCCESS")))
+        return sorted(s.getPath().getName() for s in self._fs.listStatus(top)) if self._fs.exists(top) else []
+
+    def _commit(self, kind: str, name: str, write) -> bool:
+        """What ``write`` puts into a folder of its own takes its name at once, or not at all if that name is taken."""
+        from py4j.protocol import Py4JJavaError
+
+        waiting = f"{self.folder}/_waiting/{uuid.uuid4().hex}"
+        write(waiting)
+        self._fs.mkdirs(self._path(f"{self.folder}/{kind}"))
+        never_over = self.spark.sparkContext._gateway.new_array(self.spark._jvm.org.apache.hadoop.fs.Options.Rename, 0)
+        try:
+            self._files.rename(self._path(waiting), self._path(f"{self.folder}/{kind}/{name}"), never_over)
+        except Py4JJavaError as e:
+            self._fs.delete(self._path(waiting), True)
+            if "AlreadyExists" not in str(e.java_exception):
+                raise
+            return False
+        return True
 
     def apply(self, batch_id: str, rows: DataFrame) -> bool:
-        """Commit a batch of signed rows once; False if it had been committed before."""
+        """Commit a batch of signed rows once; False if it had been committed before, by another writer too."""
         if not re.fullmatch(r"[\w-]+", batch_id):
             raise ValueError("a batch id has letters, digits, _ and - only")
-        if batch_id in self._committed("batches") or batch_id in self._snapshot()[1]:
+        if batch_id in self._committed("batches") or self._held([batch_id]):
             return False
-        rows.groupBy(*KEYS).agg(F.sum("documents").alias("documents"), F.sum("tokens").alias("tokens")).write.mode("overwrite").parquet(f"{self.folder}/batches/{batch_id}")
-        return True
+        total = rows.groupBy(*KEYS).agg(F.sum("documents").alias("documents"), F.sum("tokens").alias("tokens"))
+        return self._commit("batches", batch_id, total.write.parquet)
 
-    def _snapshot(self) -> tuple[DataFrame | None, set[str]]:
+    def _latest(self) -> str | None:
         names = self._committed("snapshots")
-        if not names:
-            return None, set()
-        table = self.spark.read.schema(SCHEMA + ", held array<string>").parquet(f"{self.folder}/snapshots/{names[-1]}")
-        held = {x for r in table.where("held IS NOT NULL").select("held").collect() for x in r[0]}
-        return table.where("held IS NULL").drop("held"), held
+        return f"{self.folder}/snapshots/{names[-1]}" if names else None
+
+    def _held(self, names: list[str]) -> set[str]:
+        """Those of ``names`` that the latest snapshot holds; the table of all names stays in its files."""
+        at = self._latest()
+        return {r[0] for r in self.spark.read.schema("batch string").parquet(f"{at}/held").where(F.col("batch").isin(names)).collect()} if at and names else set()
 
     def totals(self) -> DataFrame:
-        """(source, lang, version, documents, tokens), summed over all committed batches."""
-        table, held = self._snapshot()
-        new = [self.spark.read.schema(SCHEMA).parquet(f"{self.folder}/batches/{n}") for n in self._committed("batches") if n not in held]
-        tables = ([] if table is None else [table]) + new or [self.spark.createDataFrame([], SCHEMA)]
-        total = reduce(DataFrame.unionAll, tables).groupBy(*KEYS).agg(F.sum("documents").alias("documents"), F.sum("tokens").alias("tokens"))
+        """(source, lang, version, documents, tokens), summed over all committed batches.
+
+        A table that was asked for stays readable until the second compaction after that.
+        """
+        at, batches = self._latest(), self._committed("batches")
+        held = self._held(batches)
+        tables = [self.spark.read.schema(SCHEMA).parquet(f"{self.folder}/batches/{n}") for n in batches if n not in held]
+        tables += [self.spark.read.schema(SCHEMA).parquet(f"{at}/totals")] if at else []
+        total = reduce(DataFrame.unionAll, tables or [self.spark.createDataFrame([], SCHEMA)]).groupBy(*KEYS).agg(F.sum("documents").alias("documents"), F.sum("tokens").alias("tokens"))
         return total.where("documents <> 0 OR tokens <> 0")
 
-    def compact(self) -> None:
-        """Fold the committed batches into a new snapshot, then drop their folders."""
-        _, held = self._snapshot()
-        batches = self._committed("batches")
-        row = self.spark.createDataFrame([(None, None, None, None, None, sorted(held | set(batches)))], SCHEMA + ", held array<string>")
-        name = f"{len(self._committed('snapshots')):08d}"
-        self.totals().withColumn("held", F.lit(None).cast("array<string>")).unionByName(row).write.mode("overwrite").parquet(f"{self.folder}/snapshots/{name}")
-        for n in batches:
-            self._fs.delete(self._path(f"{self.folder}/batches/{n}"), True)
+    def compact(self) -> bool:
+        """Fold the committed batches into a new snapshot; then drop what the snapshot before this one had made superfluous.
+
+        False if another writer made a snapshot meanwhile.
+        """
+        at, batches, snapshots = self._latest(), self._committed("batches"), self._committed("snapshots")
+        held, total = self._held(batches), self.totals()
+        names = self.spark.createDataFrame([(n,) for n in batches if n not in held], "batch string")
+        if at:
+            names = names.unionAll(self.spark.read.schema("batch string").parquet(f"{at}/held"))
+
+        def write(folder):
+            total.write.parquet(f"{folder}/totals")
+            names.write.parquet(f"{folder}/held")
+
+        number = int(snapshots[-1]) + 1 if snapshots else 0
+        if not self._commit("snapshots", f"{number:08d}", write):
+            return False
+        for gone in [f"batches/{n}" for n in held] + [f"snapshots/{n}" for n in snapshots[:-1]]:
+            self._fs.delete(self._path(f"{self.folder}/{gone}"), True)
+        return True
