@@ -6,27 +6,26 @@ diagonals (place in document less place in item) within e of each other.  So hit
 in bands of diagonals 2 (e + 1) wide that overlap by half; a band below the bound can't hold the item; each other
 band is aligned, within the band, and counts if the item takes at most e edits.
 
-Items go to the tasks in shards of at most ``shard_bytes``, each a pass over the documents, so what a task
-holds doesn't grow with the benchmark; there is no shuffle.
+Items go to the tasks in shards of about ``shard_bytes``, each a pass over the documents that ends before the next begins, so neither
+the driver nor a task ever holds more of the benchmark; there is no shuffle.
 
 Items for which the lemma's bound is below 1 (normalised length 10-15, 20-23, 30-31 at 10 %) are cut into e + 1 parts,
 one of which e edits leave whole: each place of a part in the document is aligned, within e diagonals.
 
 Defined results: a null or empty text and a null or empty item match nothing; items shorter than a q-gram that
-have no edits are sought as whole words; repeated rows each get their result; ties take the least
+have no edits are sought as whole words; repeated rows each get their result; a very long text is searched whole, in time proportional to it; ties take the least
 item_id; an empty benchmark leaves all documents clean; other columns are not read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import bounded_batches, written
 
 Q = 8  #: bytes of a q-gram, so that it is one 64-bit number
 _CLEAN = np.full(256, 32, np.uint8)
@@ -200,7 +199,14 @@ def find_contamination(
     all columns, that hold no item.
     """
     bounded_batches(docs.sparkSession)
-    shards = list(_shards(benchmark.select(F.col(item_col).cast("long"), F.col(item_text_col).cast("string")), shard_bytes)) or [[]]
+    shards = _shards(benchmark.select(F.col(item_col).cast("long"), F.col(item_text_col).cast("string")), shard_bytes)
+
+    def passes(table: DataFrame, search) -> DataFrame:
+        """One pass over ``table`` a shard; what one found is written before the next, so a task holds one shard."""
+        shard = next(shards, [])
+        for following in shards:
+            table, shard = written(table.mapInArrow(search(shard), table.schema), "searched"), following
+        return table.mapInArrow(search(shard), table.schema)
 
     def clean(shard):
         def run(batches):
@@ -208,13 +214,13 @@ def find_contamination(
 
             items = Items(shard, rate)
             for batch in batches:
-                texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
-                yield batch.filter(pa.array([not items.search(x) for x in texts], pa.bool_()))
+                yield batch.filter(pa.array([not items.search(x) for x in batch.column(at).to_pylist()], pa.bool_()))
 
         return run
 
-    if keep:
-        return reduce(lambda df, shard: df.mapInArrow(clean(shard), df.schema), shards, docs)
+    if keep:  # columns go by their place, whatever their names
+        at = [c.lower() for c in docs.columns].index(text_col.lower())
+        return passes(docs.toDF(*(f"c{k}" for k in range(len(docs.columns)))), clean).toDF(*docs.columns)
 
     def more(shard):
         def run(batches):
@@ -232,6 +238,4 @@ def find_contamination(
 
     empty = [F.array().cast(f"array<{k}>").alias(n) for n, k in (("item_ids", "long"), ("edits", "int"), ("begins", "long"), ("ends", "long"))]
     found = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *empty)
-    for shard in shards:  # each pass adds what it finds
-        found = found.mapInArrow(more(shard), found.schema)
-    return found.drop("text")
+    return passes(found, more).drop("text")
