@@ -8,7 +8,7 @@ a worker keeps the scores of words that it has met.
 A word is a run of lower-cased letters; a run over 64 letters is cut there, so a pass is bounded.
 
 Defined results: ``und`` with score 0 if the text is null or has no letter, or if nothing could be learned;
-ties go to the language first in alphabetical order; repeated rows each get their result; an empty table gives
+ties go to the language first in alphabetical order; a very long text costs in proportion to its words; repeated rows each get their result; an empty table gives
 no row; other columns are not read.
 """
 
@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import attach, bounded_batches
 
 LONGEST = 64
 _WORD = re.compile(r"[^\W\d_]{1,%d}" % LONGEST)
@@ -30,7 +30,11 @@ _UNKNOWN = 1e-7
 
 
 def words(text: str | None) -> list[str]:
-    return _WORD.findall(text.lower()) if text else []
+    """Runs of lower-cased letters; numerals other than digits aren't letters."""
+    found = _WORD.findall(text.lower()) if text else []
+    if all(map(str.isalpha, found)):
+        return found
+    return [x for w in found for x in "".join(c if c.isalpha() else " " for c in w).split()]
 
 
 @cache
@@ -40,7 +44,7 @@ def vocabulary(path: str) -> tuple[np.ndarray, np.ndarray, int]:
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     pieces = {model.id_to_piece(k).lower() for k in range(model.get_piece_size())}
-    pieces = sorted(p for p in pieces if len(p) <= 16 and (p.lstrip("▁").isalpha() and "▁" not in p[1:] or p == "▁"))
+    pieces = sorted(p for p in pieces if (p.lstrip("▁").isalpha() and "▁" not in p[1:] or p == "▁"))
     keys = np.zeros(len(pieces), np.uint64)
     for k, p in enumerate(pieces):
         h = np.uint64(0)
@@ -196,26 +200,22 @@ def fit_on(docs: DataFrame, allowed: Column, tokenizer: str, sample_docs: int =
 def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], tokenizer: str, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """Columns ``keep`` with the predicted language and its score, the best language's share of the likelihood; ``names``
     names these two, as no column of ``keep`` may be called so."""
-    bounded_batches(docs.sparkSession)
     languages, p = model
     shared = docs.sparkSession.sparkContext.broadcast(p.astype(np.float32))  # vocabulary x languages
-
-    def run(batches):
-        import pyarrow as pa
-
-        scorer = Scorer(tokenizer, shared.value.astype(float))
-        for batch in batches:
-            pred, score = [], []
-            for x in scorer.score(batch.column(0).to_pylist()) if languages else [None] * batch.num_rows:
-                if x is None:
-                    pred.append("und")
-                    score.append(0.0)
-                else:
-                    best = int(x.argmax())
-                    pred.append(languages[best])
-                    score.append(float(1 / np.exp(x - x[best]).sum()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=[*batch.schema.names[1:], *names])
-
-    rows = docs.select(F.col(text_col).cast("string").alias("__text"), *keep)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:])
-    return rows.mapInArrow(run, f"{schema}, `{names[0]}` string, `{names[1]}` double")
+    kept: list[Scorer] = []
+
+    def run(texts):
+        if not kept:
+            kept.append(Scorer(tokenizer, shared.value.astype(float)))
+        pred, score = [], []
+        for x in kept[0].score(texts) if languages else [None] * len(texts):
+            if x is None:
+                pred.append("und")
+                score.append(0.0)
+            else:
+                best = int(x.argmax())
+                pred.append(languages[best])
+                score.append(float(1 / np.exp(x - x[best]).sum()))
+        return pred, score
+
+    return attach(docs, F.col(text_col), keep, f"`{names[0]}` string, `{names[1]}` double", run)
