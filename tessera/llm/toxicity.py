@@ -2,11 +2,12 @@
 
 1. A bounded sample of labelled documents is cut into windows, a word with a space on either side.  Near copies of a
    document count once as evidence.
-2. Two dictionaries are made.  The ordinary one is what zstandard's trainer picks from the windows of ordinary documents.  The
-   toxic one is made of those beginnings of toxic documents' windows that toxic documents have far more often, as the rest of a toxic
-   document is ordinary text; its compressor has it in front of the ordinary one: without that, lengths
-   differ by chance at every word that one of the trainings missed.
-3. Each window is compressed with both; what counts is the share of its ordinary length that the toxic dictionary saves.  Zstandard
+2. Two dictionaries are made.  The ordinary one is what zstandard's trainer picks from the windows of ordinary documents, after their
+   commonest fragments of 2 to 5 letters.  The toxic one is made of those beginnings of toxic documents' windows that toxic documents have far
+   more often, as the rest of a toxic document is ordinary text; its compressor has it in front of the ordinary one: without
+   that, lengths differ by chance at every word that one of the trainings missed.  The ends of these beginnings are among the ordinary
+   fragments, so that words that only end alike gain little.
+3. Each window is compressed with both; what counts are the share of its ordinary length and the bytes that the toxic dictionary saves.  Zstandard
    counts whole bytes, too coarse for so short a window, so each byte is spread to four and a filler that both dictionaries know ends it.
 4. A logistic threshold on how many windows gain how much is calibrated on documents of folds that the dictionaries
    did not see; the dictionaries that score are made from all folds.
@@ -32,8 +33,8 @@ from .common import attach, bounded_batches
 from .shingles import minhashes, shingles
 
 _WORD = re.compile(r"\w{1,64}")
-_STEPS = (5, 7, 9, 11)  #: gains in twentieths of a window's ordinary length that the threshold looks at
-_FOLDS = 5
+_SHARES, _BYTES = (4, 5, 6, 7, 9, 11), (2, 3, 4, 5, 7)  #: gains in twentieths of a window's ordinary length, and in bytes, that the threshold looks at
+_FOLDS = 3
 _codes = np.random.default_rng(1).integers(0, 256, (256, 4), np.uint8)
 _filler = np.random.default_rng(2).integers(0, 256, 64, np.uint8).tobytes()
 
@@ -64,12 +65,12 @@ def _beginnings(window: str) -> list[str]:
 def toxic_beginnings(toxic: list[list[str]], ordinary: list[list[str]], least: int, ratio: float) -> Counter:
     """Of each window of a toxic document, its most telling beginning, if it has any.
 
-    One tells if at least ``least`` toxic documents have it, ``ratio`` times their share of ordinary ones.
+    One tells if at least ``least`` toxic documents and one in a hundred have it, ``ratio`` times their share of ordinary ones.
     """
     found, other = Counter(), Counter()
     for each in toxic:
         found.update({g for w in each for g in _beginnings(w)})
-    found = {g: a for g, a in found.items() if a >= least and len(g.strip()) >= 3}
+    found = {g: a for g, a in found.items() if a >= max(least, len(toxic) / 100) and len(g.strip()) >= 3}
     for each in ordinary:
         other.update({g for w in each for g in _beginnings(w) if g in found})
     n, m = len(toxic), len(ordinary)
@@ -78,22 +79,28 @@ def toxic_beginnings(toxic: list[list[str]], ordinary: list[list[str]], least: i
     return Counter(g for g in best if g)
 
 
-def _content(samples: Counter, size: int) -> bytes:
-    """A dictionary's content: all samples, the commonest last, where ``size`` holds them, else what zstandard's trainer picks."""
-    import zstandard as z
-
-    order = sorted(samples, key=lambda x: (samples[x], x))
-    if sum(map(len, order)) <= size:
-        return b"".join(order)
-    return z.train_dictionary(size, [x + _filler[:8] for x in order for _ in range(samples[x])], k=128, d=8).as_bytes()
+def train_dictionaries(toxic: list[list[str]], ordinary: list[list[str]], least: int = 4, ratio: float = 30.0, size: int = 1 << 15, fragments: int = 4000) -> tuple[bytes, bytes]:
+    """(ordinary, toxic) dictionary contents from documents' windows; the toxic one ends with the ordinary one.
 
+    A window counts eight times at most in training, or a few common words would drown the others.
+    """
+    import zstandard as z
 
-def train_dictionaries(toxic: list[list[str]], ordinary: list[list[str]], least: int = 4, ratio: float = 30.0, size: int = 1 << 16) -> tuple[bytes, bytes]:
-    """(ordinary, toxic) dictionary contents from documents' windows; the toxic one ends with the ordinary one."""
-    counted = [Counter(f" {w} " for each in ordinary for w in each), toxic_beginnings(toxic, ordinary, least, ratio)]
-    plain, marks = (Counter({spread(x): n for x, n in c.items()}) for c in counted)
-    plain = _content(plain, size) + _filler
-    return plain, _content(marks, size // 4) + plain
+    marks = toxic_beginnings(toxic, ordinary, least, ratio)
+    whole, parts = Counter(w for each in ordinary for w in each), Counter()
+    for w, n in whole.items():
+        for width in (2, 3, 4, 5):
+            for k in range(len(w) - width + 1):
+                parts[w[k : k + width]] += n
+    common = sorted(parts, key=lambda x: (-parts[x], x))[:fragments]
+    samples = [spread(f" {w} ") + _filler[:8] for w, n in sorted(whole.items()) for _ in range(min(8, n))]
+    try:
+        trained = z.train_dictionary(size, samples, k=128, d=8).as_bytes()
+    except z.ZstdError:  # too few windows to train on: they are the content themselves
+        trained = b"".join(samples)[-size:]
+    # zstandard wants the likeliest content at the end
+    plain = spread(" " + " ".join([*reversed(common), *(g[2:] for g in sorted(marks))]) + " ") + trained + _filler
+    return plain, b"".join(spread(g) for g in sorted(marks, key=lambda g: (marks[g], g))) + plain
 
 
 class Distance:
@@ -118,10 +125,11 @@ class Distance:
         self.older: dict[str, int] = {}
 
     def gain(self, window: str) -> int:
-        """Twentieths of the window's ordinary length by which the toxic dictionary shortens it."""
+        """How much the toxic dictionary shortens the window: twentieths of its ordinary length, times 16, plus bytes up to 15."""
         x = spread(f" {window} ") + _filler
         ordinary = len(self.ordinary.compress(x))
-        return max(0, min(20, 20 * (ordinary - len(self.toxic.compress(x))) // max(1, ordinary - self.least)))
+        saved = max(0, ordinary - len(self.toxic.compress(x)))
+        return 16 * min(20, 20 * saved // max(1, ordinary - self.least)) + min(15, saved)
 
     def steps(self, text: str | None) -> tuple[np.ndarray, int]:
         """(how many windows gain at least each step, how many windows)."""
@@ -129,10 +137,11 @@ class Distance:
         for w in set(each).difference(self.table):
             found = self.older.get(w)
             self.table[w] = self.gain(w) if found is None else found
-        gain = np.bincount(np.fromiter(map(self.table.__getitem__, each), np.int64, len(each)), minlength=21)
+        gain = np.bincount(np.fromiter(map(self.table.__getitem__, each), np.int64, len(each)), minlength=21 * 16).reshape(21, 16)
         if len(self.table) > self.most:
             self.older, self.table = self.table, {}
-        return gain[::-1].cumsum()[::-1][list(_STEPS)], max(1, len(each))
+        reached = lambda counts, steps: counts[::-1].cumsum()[::-1][list(steps)]
+        return np.concatenate([reached(gain.sum(axis=1), _SHARES), reached(gain.sum(axis=0), _BYTES)]), max(1, len(each))
 
 
 @cache
@@ -191,7 +200,7 @@ def fit_on(docs: DataFrame, labels: DataFrame, allowed: Column, sample_docs: int
     sizes = {r[0]: r[1] for r in known.groupBy("label").count().collect()}  # two rows
     if len(sizes) < 2:
         return Model([])
-    share = F.when(F.col("label") == 1, sample_docs / sizes[1]).otherwise(sample_docs / sizes[0])
+    share = F.when(F.col("label") == 1, min(1.0, sample_docs / sizes[1])).otherwise(min(1.0, sample_docs / sizes[0]))
     taken = known.where(F.pmod(F.xxhash64(F.col(id_col), F.lit(9)), F.lit(1 << 20)) < share * (1 << 20))
     # the sample is bounded by sample_docs, so it may be broadcast
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(taken.withColumnRenamed(id_col, "id")), "id").select("id", "text", "label")
