@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import decontamination, language_id, near_duplicates, packing, toxicity
-from tessera.llm.common import shared_dir, tokenizer_path, written
+from tessera.llm.common import quoted, shared_dir, tokenizer_path, written
 from tessera.llm.queries import PIECES, WORD_BPE
 
 #: Below this share of the likelihood for the best language a text counts as of none.
@@ -18,7 +18,7 @@ _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]"
 
 
 def _fit_columns(docs: DataFrame) -> list[str]:
-    return [f"`{c}`" for c in docs.columns]
+    return [quoted(c) for c in docs.columns]
 
 
 def _free(docs: DataFrame, name: str) -> str:
@@ -33,7 +33,7 @@ def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     path = tokenizer_path(PIECES)
     model = language_id.fit_on(docs, F.lit(True), path)
     pred, score = _free(docs, "lang_pred"), _free(docs, "score")
-    found = language_id.identify(docs, model, path, keep=tuple(_fit_columns(docs)), names=(pred, score))
+    found = language_id.identify(docs, model, path, keep=tuple(docs.columns), names=(pred, score))
     return found.where((F.col(pred) != "und") & (F.col(score) >= LEAST_LANGUAGE_SCORE)).select(*_fit_columns(docs))
 
 
@@ -78,7 +78,7 @@ STAGES = [
     ("packing", pack),
 ]
 
-#: The stages' models and alignments can't be written in SQL; tests hold the run against brute force.
+#: The stages' models and alignments can't be written in SQL; tests hold the run against a plain version of its stages.
 ORACLE_SQL = None
 
 
