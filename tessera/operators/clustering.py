@@ -28,7 +28,7 @@ def assign_batches(df: DataFrame, vector: str, levels: list[np.ndarray], keep: l
         import pyarrow as pa
 
         for batch in batches:
-            x = np.array(batch.column(0).to_pylist(), float).reshape(batch.num_rows, -1)
+            x = _matrix(batch.column(0))
             codes = np.zeros((batch.num_rows, len(shared.value)), np.int32)
             for level, c in enumerate(shared.value):
                 if len(x):
@@ -48,6 +48,12 @@ def residual(df: DataFrame, vector: str, code: str, centers: list[list[float]])
     return df.withColumn(vector, subtract(F.col(vector), F.element_at(table, F.col(code) + 1)))
 
 
+def _matrix(column) -> np.ndarray:
+    """Vectors of an Arrow batch as rows of doubles, without a Python object a number."""
+    values = column.flatten().to_numpy(zero_copy_only=False).astype(float, copy=False)
+    return values.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
+
+
 def _partial_sums(df: DataFrame, vector: str, centers: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
     """(sums, counts, inertia): a row for each center and task comes to the driver, whatever the number of vectors."""
     ensure_importable(df.sparkSession)
@@ -61,7 +67,7 @@ def _partial_sums(df: DataFrame, vector: str, centers: np.ndarray) -> tuple[np.n
         sums, counts, inertia = np.zeros((k, width)), np.zeros(k, int), np.zeros(k)
         for batch in batches:
             if batch.num_rows:
-                x = np.array(batch.column(0).to_pylist(), float)
+                x = _matrix(batch.column(0))
                 d = np.maximum(0, (x * x).sum(1)[:, None] - 2 * x @ c.T + (c * c).sum(1))
                 near = d.argmin(1)
                 np.add.at(sums, near, x)
@@ -108,6 +114,16 @@ def lloyd(df: DataFrame, vector: str, key: str, k: int, rounds: int = 50, tolera
     return centers, curve
 
 
+def lloyd_from(df: DataFrame, vector: str, centers: list[list[float]], rounds: int) -> list[tuple[int, int, float]]:
+    """(vectors, codes in use, inertia) of each of so many rounds from given centers; an empty center stays where it is."""
+    at, curve = np.asarray(centers, float), []
+    for _ in range(rounds):
+        sums, counts, inertia = _partial_sums(df, vector, at)
+        curve.append((int(counts.sum()), int((counts > 0).sum()), inertia))
+        at = np.where(counts[:, None] > 0, sums / np.maximum(counts, 1)[:, None], at)
+    return curve
+
+
 def train_residual_quantizer(df: DataFrame, vector: str, key: str, k: int, levels: int, **options) -> list[np.ndarray]:
     """Centers of each level; a level is fitted on what the ones before leave over, as a lazy projection."""
     out = []
@@ -126,7 +142,7 @@ def effective_rank(df: DataFrame, vector: str) -> tuple[float, int]:
         total = None
         for batch in batches:
             if batch.num_rows:
-                x = np.array(batch.column(0).to_pylist(), float)
+                x = _matrix(batch.column(0))
                 g = np.vstack([np.hstack([len(x), x.sum(0)]), np.hstack([x.sum(0)[:, None], x.T @ x])])
                 total = g if total is None else total + g
         if total is not None:

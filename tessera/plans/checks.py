@@ -70,29 +70,30 @@ def step_flag_violations(spark, sf_dir):
     return each.groupBy("bad_first", "bad_last", "early_end").agg(F.count(F.lit(1)).alias("episodes"))
 
 
-@query("WITH p AS (SELECT DISTINCT o_custkey AS id, o_orderpriority AS part FROM orders WHERE o_custkey % 3 <> 0), f AS (SELECT id, count(*) AS parts FROM p GROUP BY 1), j AS (SELECT c_custkey, id, parts FROM customer FULL JOIN f ON c_custkey = id) SELECT count(*) FILTER (WHERE parts > 1) AS repeated, count(*) FILTER (WHERE id IS NULL) AS missing, count(*) FILTER (WHERE c_custkey IS NULL) AS unexpected, count(*) FILTER (WHERE c_custkey = id) AS found FROM j")
+@query("WITH f AS (SELECT CASE WHEN o_custkey % 3 <> 0 THEN o_custkey ELSE o_custkey + 1000000000 END AS id, count(DISTINCT o_orderpriority) AS parts FROM orders GROUP BY 1), j AS (SELECT c_custkey, id, parts FROM customer FULL JOIN f ON c_custkey = id) SELECT count(*) FILTER (WHERE parts > 1) AS repeated, count(*) FILTER (WHERE id IS NULL) AS missing, count(*) FILTER (WHERE c_custkey IS NULL) AS unexpected, count(*) FILTER (WHERE c_custkey = id) AS found FROM j")
 def partition_coverage(spark, sf_dir):
-    """SET-01, SRC-30: parts must not share an id, and together hold all that are expected."""
-    o = table(spark, sf_dir, "orders").where("o_custkey % 3 <> 0")
-    found = o.groupBy(F.col("o_custkey").alias("id")).agg(F.count_distinct("o_orderpriority").alias("parts"))
+    """SET-01, SRC-30: parts must not share an id, and together hold all that are expected.  A third of the ids is changed, so that some are missing and some unexpected."""
+    customer = F.col("o_custkey")
+    found = table(spark, sf_dir, "orders").groupBy(F.when(customer % 3 != 0, customer).otherwise(customer + 1000000000).alias("id")).agg(F.count_distinct("o_orderpriority").alias("parts"))
     j = table(spark, sf_dir, "customer").select("c_custkey").join(found, F.col("c_custkey") == F.col("id"), "full")
     return j.agg(F.count_if(F.col("parts") > 1).alias("repeated"), F.count_if(F.col("id").isNull()).alias("missing"), F.count_if(F.col("c_custkey").isNull()).alias("unexpected"), F.count_if(F.col("c_custkey") == F.col("id")).alias("found"))
 
 
-@query(f"WITH {TICKS}, w AS (SELECT user_id % 10 AS export, user_id % 4 + 2 AS world, tick % 5 AS rank, max(sec) AS sec FROM ticks WHERE tick < user_id % 7 GROUP BY 1, 2, 3), c AS (SELECT export, world, max(sec) AS sec FROM w WHERE rank < world GROUP BY 1, 2 HAVING count(DISTINCT rank) = world) SELECT export, arg_max(world, (sec, world)) AS world FROM c GROUP BY 1")
+@query(f"WITH {TICKS}, w AS (SELECT user_id % 10 AS export, user_id % 4 + 2 AS world, CASE WHEN tick < user_id % 7 THEN tick % 5 ELSE 0 END AS rank, max(sec) AS sec FROM ticks GROUP BY 1, 2, 3), c AS (SELECT export, world, max(sec) AS sec FROM w WHERE rank < world GROUP BY 1, 2 HAVING count(DISTINCT rank) = world) SELECT export, arg_max(world, (sec, world)) AS world FROM c GROUP BY 1")
 def latest_complete_export(spark, sf_dir):
-    """SET-02: of the sizes under which all ranks of an export reported, the one of the latest report."""
-    u = F.col("user_id")
-    rows = ticks(spark, sf_dir).where(F.col("tick") < u % 7).select((u % 10).alias("export"), (u % 4 + 2).alias("world"), (F.col("tick") % 5).alias("rank"), "sec")
+    """SET-02: of the sizes under which all ranks of an export reported, the one of the latest report.  Later ticks report for the first rank."""
+    u, tick = F.col("user_id"), F.col("tick")
+    rows = ticks(spark, sf_dir).select((u % 10).alias("export"), (u % 4 + 2).alias("world"), F.when(tick < u % 7, tick % 5).otherwise(0).alias("rank"), "sec")
     complete = rows.where("rank < world").groupBy("export", "world").agg(F.max("sec").alias("sec"), F.count_distinct("rank").alias("ranks")).where("ranks = world")
     return complete.groupBy("export").agg(F.max_by("world", F.struct("sec", "world")).alias("world"))
 
 
-@query("WITH a AS (SELECT o_orderkey AS k, o_custkey % 7 + 1 AS n FROM orders WHERE o_orderkey % 3 <> 0), b AS (SELECT l_orderkey AS k, count(*) AS n FROM lineitem WHERE l_orderkey % 5 <> 0 GROUP BY 1) SELECT CASE WHEN b.k IS NULL THEN 'left_only' WHEN a.k IS NULL THEN 'right_only' WHEN a.n = b.n THEN 'equal' ELSE 'different' END AS status, count(*) AS segments, coalesce(sum(abs(a.n - b.n)), 0)::BIGINT AS difference FROM a FULL JOIN b ON a.k = b.k GROUP BY 1")
+@query("WITH a AS (SELECT CASE WHEN o_orderkey % 3 <> 0 THEN o_orderkey ELSE -o_orderkey END AS k, o_custkey % 7 + 1 AS n FROM orders), b AS (SELECT CASE WHEN l_orderkey % 5 <> 0 THEN l_orderkey ELSE -l_orderkey END AS k, count(*) AS n FROM lineitem GROUP BY 1) SELECT CASE WHEN b.k IS NULL THEN 'left_only' WHEN a.k IS NULL THEN 'right_only' WHEN a.n = b.n THEN 'equal' ELSE 'different' END AS status, count(*) AS segments, coalesce(sum(abs(a.n - b.n)), 0)::BIGINT AS difference FROM a FULL JOIN b ON a.k = b.k GROUP BY 1")
 def full_outer_equality(spark, sf_dir):
-    """JON-17, JON-22: two tables of segments compared by id, then by value."""
-    a = table(spark, sf_dir, "orders").where("o_orderkey % 3 <> 0").select(F.col("o_orderkey").alias("ka"), (F.col("o_custkey") % 7 + 1).alias("na"))
-    b = table(spark, sf_dir, "lineitem").where("l_orderkey % 5 <> 0").groupBy(F.col("l_orderkey").alias("kb")).agg(F.count(F.lit(1)).alias("nb"))
+    """JON-17, JON-22: two tables of segments compared by id, then by value.  Some ids of either are negated, so that each has rows the other lacks."""
+    altered = lambda c, by: F.when(F.col(c) % by != 0, F.col(c)).otherwise(-F.col(c))
+    a = table(spark, sf_dir, "orders").select(altered("o_orderkey", 3).alias("ka"), (F.col("o_custkey") % 7 + 1).alias("na"))
+    b = table(spark, sf_dir, "lineitem").groupBy(altered("l_orderkey", 5).alias("kb")).agg(F.count(F.lit(1)).alias("nb"))
     status = F.when(F.col("kb").isNull(), "left_only").when(F.col("ka").isNull(), "right_only").when(F.col("na") == F.col("nb"), "equal").otherwise("different")
     return a.join(b, F.col("ka") == F.col("kb"), "full").groupBy(status.alias("status")).agg(F.count(F.lit(1)).alias("segments"), F.coalesce(F.sum(F.abs(F.col("na") - F.col("nb"))), F.lit(0)).alias("difference"))
 

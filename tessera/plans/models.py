@@ -15,39 +15,35 @@ def _whole_vectors(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("x"), "label")
 
 
-def _vectors(spark, sf_dir):
-    return _whole_vectors(spark, sf_dir).withColumn("x", F.slice("x", 1, 4))
-
-
-def _fixed_centers(vectors) -> list[list[float]]:
-    """The first vector of each label: a codebook of ten."""
-    rows = vectors.groupBy("label").agg(F.min_by("x", "vec_id").alias("x")).orderBy("label").collect()
+def _fixed_centers(vectors, last: bool = False) -> list[list[float]]:
+    """The first, or the last, vector of each label: a codebook of ten."""
+    pick = F.max_by if last else F.min_by
+    rows = vectors.groupBy("label").agg(pick("x", "vec_id").alias("x")).orderBy("label").collect()
     return [list(r["x"]) for r in rows]
 
 
-_DIST = " + ".join(f"(e.x[{i}] - c.x[{i}]) * (e.x[{i}] - c.x[{i}])" for i in range(1, 5))
-_CENTERS = "v AS (SELECT vec_id, label, embedding[1:4]::DOUBLE[] AS x FROM embeddings), c AS (SELECT row_number() OVER (ORDER BY label) - 1 AS k, arg_min(x, vec_id) AS x FROM v GROUP BY label)"
+_LAST = "v AS (SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings), c AS (SELECT row_number() OVER (ORDER BY label) - 1 AS k, arg_max(x, vec_id) AS x FROM v GROUP BY label)"
 
 
-@query(f"WITH {_CENTERS}, d AS (SELECT vec_id, k, {_DIST} AS d FROM v e CROSS JOIN c), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d, k) AS n FROM d) SELECT vec_id, k AS code, round(d, 6) AS distance FROM r WHERE n = 1")
+@query(f"WITH {_LAST}, d AS (SELECT vec_id, k, list_distance(e.x, c.x) ** 2 AS d FROM v e CROSS JOIN c), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d, k) AS n FROM d) SELECT vec_id, k AS code, round(d, 6) AS distance FROM r WHERE n = 1")
 def assign_nearest_fixed(spark, sf_dir):
-    """Codes of the first four numbers; ``assign_nearest_whole`` has those of whole vectors."""
-    return _assigned(_vectors(spark, sf_dir))
+    """Codes of whole vectors under the last vector of each label; ``assign_nearest_whole`` has those under the first."""
+    return _assigned(_whole_vectors(spark, sf_dir), last=True)
 
 
-def _assigned(vectors):
-    out = clustering.assign_nearest(vectors, "x", _fixed_centers(vectors))
+def _assigned(vectors, last=False):
+    out = clustering.assign_nearest(vectors, "x", _fixed_centers(vectors, last))
     return out.select("vec_id", F.col("code").cast("long").alias("code"), F.round("distance", 6).alias("distance"))
 
 
-@query(f"WITH {_CENTERS}, d AS (SELECT vec_id, k, e.x AS x, c.x AS y, {_DIST} AS d FROM v e CROSS JOIN c), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d, k) AS n FROM d), e AS (SELECT vec_id, k AS c1, [x[1] - y[1], x[2] - y[2], x[3] - y[3], x[4] - y[4]] AS x FROM r WHERE n = 1), d2 AS (SELECT vec_id, c1, k, {_DIST.replace('c.x', '(c.x)').replace('- (c.x)[', '- 0.5 * (c.x)[')} AS d FROM e CROSS JOIN c), r2 AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d, k) AS n FROM d2) SELECT vec_id, c1, k AS c2, c1 * 10 + k AS prefix, c1 + k * 10 AS joint FROM r2 WHERE n = 1")
+@query(f"WITH {_LAST}, d AS (SELECT vec_id, k, e.x AS x, c.x AS y, list_distance(e.x, c.x) AS d FROM v e CROSS JOIN c), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d, k) AS n FROM d), e AS (SELECT vec_id, k AS c1, [z[1] - z[2] for z in list_zip(x, y)] AS x FROM r WHERE n = 1), d2 AS (SELECT vec_id, c1, k, list_distance(e.x, [0.5 * z for z in c.x]::DOUBLE[]) AS d FROM e CROSS JOIN c), r2 AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d, k) AS n FROM d2) SELECT vec_id, c1, k AS c2, c1 * 10 + k AS prefix, c1 + k * 10 AS joint FROM r2 WHERE n = 1")
 def rq_encode_fixed(spark, sf_dir):
-    """Two levels of residual codes of the first four numbers; the second codebook is half the first."""
-    return _residual_codes(_vectors(spark, sf_dir))
+    """Two levels of residual codes of whole vectors under the last vector of each label; the second codebook is half the first."""
+    return _residual_codes(_whole_vectors(spark, sf_dir), last=True)
 
 
-def _residual_codes(vectors):
-    centers = _fixed_centers(vectors)
+def _residual_codes(vectors, last=False):
+    centers = _fixed_centers(vectors, last)
     first = clustering.assign_nearest(vectors, "x", centers, "c1")
     rest = clustering.residual(first, "x", "c1", centers)
     out = clustering.assign_nearest(rest, "x", [[0.5 * v for v in c] for c in centers], "c2")
