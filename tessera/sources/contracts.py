@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import hashlib
 import json
+import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,15 +32,22 @@ def violations(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
 
 
 def write_table(df: DataFrame, path: str, contract: dict) -> str:
-    """Write once: an equal contract leaves the table as it is, another one is an error."""
+    """Write once: an equal contract leaves the table as it is, another one is an error.
+
+    Data go to a folder of their own, which the contract names; whoever writes the contract first wins."""
     spark, digest = df.sparkSession, canonical_hash(contract)
     found = read_contract(spark, path)
-    if found is not None:
-        if found["hash"] != digest:
-            raise ValueError(f"{path} holds another contract")
-        return digest
-    df.write.mode("overwrite").parquet(f"{path}/data")
-    spark.createDataFrame([(json.dumps({"contract": contract, "hash": digest}, sort_keys=True),)], "value string").coalesce(1).write.mode("errorifexists").text(f"{path}/contract")
+    if found is None:
+        data = f"data-{uuid.uuid4().hex}"
+        df.write.parquet(f"{path}/{data}")
+        row = json.dumps({"contract": contract, "hash": digest, "data": data}, sort_keys=True)
+        try:
+            spark.createDataFrame([(row,)], "value string").coalesce(1).write.mode("errorifexists").text(f"{path}/contract")
+            return digest
+        except AnalysisException:
+            found = read_contract(spark, path)
+    if found is None or found["hash"] != digest:
+        raise ValueError(f"{path} holds another contract")
     return digest
 
 
@@ -56,4 +65,4 @@ def read_table(spark: SparkSession, path: str, digest: str | None = None) -> Dat
     found = read_contract(spark, path)
     if found is None or digest and found["hash"] != digest:
         raise ValueError(f"{path} has no such contract")
-    return spark.read.parquet(f"{path}/data")
+    return spark.read.parquet(f"{path}/{found['data']}")
