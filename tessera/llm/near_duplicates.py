@@ -69,7 +69,7 @@ def _signatures(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame
 
 
 def _sets(texts: DataFrame, width: int) -> DataFrame:
-    """(node, bands, set) of rows whose text still has the node's set: equal ids may have other texts."""
+    """(node, set) of rows whose text still has the node's set: equal ids may have other texts."""
 
     def run(batches):
         import numpy as np
@@ -78,16 +78,15 @@ def _sets(texts: DataFrame, width: int) -> DataFrame:
         from .shingles import mix, shingles
 
         for batch in batches:
-            nodes, bands, out = [], [], []
-            for node, own, text in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
+            nodes, out = [], []
+            for node, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 x = shingles(text, width)
                 if len(x) and int(np.add.reduce(mix(x + np.uint64(len(x)))).astype(np.int64)) == node:
                     nodes.append(node)
-                    bands.append(own.values.to_numpy().tobytes())
                     out.append(x.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(bands, pa.binary()), pa.array(out, pa.binary())], names=["node", "bands", "set"])
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(out, pa.binary())], names=["node", "set"])
 
-    return texts.mapInArrow(run, "node long, bands binary, set binary")
+    return texts.mapInArrow(run, "node long, set binary")
 
 
 def _verify(nodes, sides, weights, bands, sets, band: int, threshold: float):
@@ -144,7 +143,7 @@ def _cells(rows: DataFrame, threshold: float) -> DataFrame:
                 return []
             nodes = np.array([r[3] for r in cell])
             sides = np.array([2 if r[1] == r[2] else int(r[4] == r[2]) for r in cell])
-            bands = np.array([np.frombuffer(r[7], np.int64) for r in cell])
+            bands = np.array([r[7] for r in cell], np.int64)
             return _verify(nodes, sides, np.array([r[5] for r in cell]), bands, [np.frombuffer(r[8], np.uint64) for r in cell], cell[0][6], threshold)
 
         schema = pa.schema([("node", pa.int64()), ("links", pa.int64()), ("root", pa.int64())])
@@ -166,7 +165,7 @@ def _cells(rows: DataFrame, threshold: float) -> DataFrame:
 
 def near_duplicates(
     docs: DataFrame, threshold: float = 0.8, width: int = 5, recall: float = 0.9999, id_col: str = "doc_id", text_col: str = "text",
-    block_nodes: int = 512, block_shingles: int = 1 << 18,
+    block_nodes: int = 256, block_shingles: int = 1 << 18,
 ) -> DataFrame:
     """One row a document: doc_id, class_id (least doc_id of its class), n_links (other documents at
     ``threshold`` or more, copies included), copies (documents with an equal shingle set).
@@ -192,10 +191,10 @@ def near_duplicates(
         member.join(kept.hint("merge"), "bucket").select("bucket", "band", "node", "copies", "blocks", F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")).cast("int").alias("block")),
         "placed",
     )
-    wanted = written(nodes.join(placed.select("node").distinct().hint("merge"), "node").select(F.col("first_id").alias("doc_id"), "node", "bands"), "wanted")
-    small = wanted.count() * (24 + 8 * bands) <= BROADCAST_BYTES
-    texts = docs.join(F.broadcast(wanted) if small else wanted.hint("merge"), "doc_id").select("node", "bands", "text")
-    sets = written(_sets(texts, width), "sets")
+    wanted = written(nodes.join(placed.select("node").distinct().hint("merge"), "node").select(F.col("first_id").alias("doc_id"), "node"), "wanted")
+    small = wanted.count() * 16 <= BROADCAST_BYTES
+    texts = docs.join(F.broadcast(wanted) if small else wanted.hint("merge"), "doc_id").select("node", "text")
+    sets = written(_sets(texts, width), "sets").join(nodes.select("node", "bands").hint("merge"), "node")
     cells = placed.select("bucket", "band", "node", "block", "copies", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select(
         "bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "block", "copies", "band"
     )
