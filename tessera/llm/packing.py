@@ -106,7 +106,8 @@ class Order:
 
         rng = np.random.default_rng(7)
         self.np, self.corpus = np, corpus
-        self.sign = rng.integers(0, 2, (len(corpus.df), DIMENSIONS), np.int8) * 2 - 1
+        self.sign = (rng.integers(0, 2, (len(corpus.df), DIMENSIONS), np.int8) * 2 - 1).astype(np.float32)
+        self.idf = corpus.idf.astype(np.float32)
         self.draw = -np.log1p(-rng.random((len(corpus.df), HASHES), np.float32))
 
     def places(self, ids: list[bytes]):
@@ -119,7 +120,7 @@ class Order:
             term, tf = term[shared], tf[shared]
             if len(term):
                 weight = corpus.weight(term, tf, len(own) // 4).astype(np.float32)
-                x[k] = (weight * corpus.idf[term].astype(np.float32)) @ self.sign[term].astype(np.float32)
+                x[k] = (weight * self.idf[term]) @ self.sign[term]
                 drawn[k] = term[np.argmin(self.draw[term] / weight[:, None], axis=0)]
         norm = np.linalg.norm(x, axis=1, keepdims=True)
         return np.divide(x, norm, out=x, where=norm > 0), drawn
