@@ -35,8 +35,8 @@ def _words(text: Column) -> Column:
     return F.array_distinct(F.split(F.lower(text), BETWEEN_WORDS))
 
 
-#: Families of randomised lexicons; in each, lexicon k keeps a term with a chance of 4^-k.
-FAMILIES, LEVELS = 16, 6
+#: Families of randomised lexicons are groups of a hash times windows of its bits; in each, lexicon k keeps a term with a chance of 4^-k.
+GROUPS, WINDOWS, LEVELS = 4, 4, 6
 
 
 #: A term's slots of the filter: two parts of its hash.
@@ -78,7 +78,7 @@ def _let(value: Column, use) -> Column:
 def fingerprint(text: Column, lex: Lexicon) -> Column:
     """Array of one hash a lexicon, null where it keeps no term: the whole lexicon's, then by family and level; empty if the text has no word."""
     bits = F.split(F.lit(lex.bitmap), ",").cast("array<bigint>")  # folded to one literal
-    every = F.array_sort(F.transform(F.filter(_words(text), lambda w: w != ""), lambda w: F.xxhash64(w)))
+    every = F.sort_array(F.transform(F.filter(_words(text), lambda w: w != ""), lambda w: F.xxhash64(w)))
 
     def banded(bitmap, h):
         inside = F.lit(True)
@@ -88,18 +88,21 @@ def fingerprint(text: Column, lex: Lexicon) -> Column:
             inside = inside & (F.call_function("getbit", word, slot.bitwiseAND(63).cast("int")) == 1)
         return inside & ~h.isin(*lex.frequent) if lex.frequent else inside
 
-    def kept(terms, family, level):
-        return F.filter(terms, lambda t: F.xxhash64(t, F.lit(family)).bitwiseAND(4**level - 1) == 0)
-
     def component(terms):
         return F.when(F.size(terms) > 0, F.xxhash64(terms))
 
-    def of_family(terms, family):
-        deeper = lambda t2: F.array(component(t2), *(component(kept(t2, family, k)) for k in range(3, LEVELS + 1)))
-        return _let(kept(terms, family, 1), lambda t1: F.concat(F.array(component(t1)), _let(kept(t1, family, 2), deeper)))
+    def of_family(hashes, window):
+        def kept(h, level):
+            return F.filter(h, lambda x: F.shiftrightunsigned(x, 2 * LEVELS * window).bitwiseAND(4**level - 1) == 0)
+
+        deeper = lambda h2: F.array(component(h2), *(component(kept(h2, k)) for k in range(3, LEVELS + 1)))
+        return _let(kept(hashes, 1), lambda h1: F.concat(F.array(component(h1)), _let(kept(h1, 2), deeper)))
+
+    def of_group(terms, group):
+        return _let(F.transform(terms, lambda t: F.xxhash64(t, F.lit(group))), lambda h: F.concat(*(of_family(h, k) for k in range(WINDOWS))))
 
     def components(terms):
-        return F.when(F.size(terms) == 0, F.array().cast("array<bigint>")).otherwise(F.concat(F.array(component(terms)), *(of_family(terms, k) for k in range(FAMILIES))))
+        return F.when(F.size(terms) == 0, F.array().cast("array<bigint>")).otherwise(F.concat(F.array(component(terms)), *(of_group(terms, k) for k in range(GROUPS))))
 
     return _let(every, lambda t: _let(_let(bits, lambda bitmap: F.filter(t, lambda h: banded(bitmap, h))), lambda b: components(F.when(F.size(b) > 0, b).otherwise(t))))
 
@@ -111,8 +114,8 @@ def as_text(components: Column) -> Column:
 
 def likeness(a: Column, b: Column) -> Column:
     """Share of equal components among lexicons that keep a term of either, 0 to 1."""
-    pairs = F.filter(F.zip_with(a, b, lambda x, y: F.when(x.isNotNull() | y.isNotNull(), F.coalesce(x == y, F.lit(False)))), lambda x: x.isNotNull())
-    share = _let(pairs, lambda p: F.size(F.filter(p, lambda x: x)) / F.size(p))
+    # 1: equal; 0: not; null: neither keeps a term
+    share = _let(F.array_compact(F.zip_with(a, b, lambda x, y: F.when(x == y, 1).when(x.isNotNull() | y.isNotNull(), 0))), lambda p: F.size(F.array_remove(p, 0)) / F.size(p))
     return F.when((F.size(a) == 0) | (F.size(b) == 0), (F.size(a) == F.size(b)).cast("double")).otherwise(share)
 
 

@@ -246,11 +246,13 @@ def _xxhash(*values):
 
 
 def _components(terms):
-    out = [_xxhash(*terms) if terms else None] if terms else []
-    for family in range(fingerprints.FAMILIES if terms else 0):
-        for level in range(1, fingerprints.LEVELS + 1):
-            kept = [t for t in terms if _xxhash(t, (family,)) & (4**level - 1) == 0]
-            out.append(_xxhash(*kept) if kept else None)
+    out = [_xxhash(*terms)] if terms else []
+    for group in range(fingerprints.GROUPS if terms else 0):
+        hashes = [_xxhash(t, (group,)) for t in terms]
+        for window in range(fingerprints.WINDOWS):
+            for level in range(1, fingerprints.LEVELS + 1):
+                kept = [h for h in hashes if (h & (1 << 64) - 1) >> 12 * window & (4**level - 1) == 0]
+                out.append(_xxhash(*kept) if kept else None)
     return out
 
 
