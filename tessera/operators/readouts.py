@@ -54,3 +54,44 @@ def continuous_ridge(df: DataFrame, x: list[str], y: str, alpha: float) -> np.nd
     scale = np.sqrt(np.maximum(np.diag(cov), 1e-12))
     w = np.linalg.solve(cov / np.outer(scale, scale) + alpha / n * np.eye(len(x)), cross / scale) / scale
     return np.concatenate([[my - mean @ w], w])
+
+
+def mixed_ridge(train: DataFrame, x: list[str], codes: list[str], target: str, alpha: float) -> tuple[float, dict[str, float], dict[tuple[str, object], float]]:
+    """(intercept, weight by continuous column, weight by (code column, code)) of a ridge on standardised columns of both kinds.
+
+    A code is a column of zeros and ones; constant columns have no weight.  The executors sum products of continuous columns, and by
+    code and pair of codes counts and sums, so what comes to the driver is bounded by columns and codebooks.
+    """
+    numbers = [*x, target]
+    cells = {(a, b): F.sum(F.col(a).cast("double") * F.col(b)) for k, a in enumerate(numbers) for b in numbers[k:]}
+    row = train.agg(F.count(F.lit(1)), *(F.sum(F.col(c).cast("double")) for c in numbers), *cells.values()).first()
+    n, first, products = row[0], dict(zip(numbers, row[1:], strict=False)), dict(zip(cells, row[1 + len(numbers) :], strict=True))
+    columns: list = [*x]
+    cross = {(a, b): v for (a, b), v in products.items()}
+    for c in codes:
+        for r in train.groupBy(c).agg(F.count(F.lit(1)), *(F.sum(F.col(v).cast("double")) for v in numbers)).where(F.col(c).isNotNull()).orderBy(c).collect():
+            key = (c, r[0])
+            columns.append(key)
+            first[key] = cross[key, key] = float(r[1])
+            cross.update({(v, key): s for v, s in zip(numbers, r[2:], strict=True)})
+    for k, a in enumerate(codes):
+        for b in codes[k + 1 :]:
+            cross.update({((a, r[0]), (b, r[1])): float(r[2]) for r in train.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(a, b).count().collect()})
+    product = lambda a, b: cross.get((a, b), cross.get((b, a), 0.0))
+    mean = np.array([first[c] for c in columns]) / n
+    covariance = np.array([[product(a, b) for b in columns] for a in columns]) / n - np.outer(mean, mean)
+    with_target = np.array([product(c, target) for c in columns]) / n - mean * first[target] / n
+    scale = np.sqrt(np.maximum(np.diag(covariance), 0))
+    live = np.flatnonzero(scale > 1e-9)
+    unit = covariance[np.ix_(live, live)] / np.outer(scale[live], scale[live])
+    weight = np.zeros(len(columns))
+    weight[live] = np.linalg.solve(unit + alpha / n * np.eye(len(live)), with_target[live] / scale[live]) / scale[live]
+    named = dict(zip(columns, weight.tolist(), strict=True))
+    return float(first[target] / n - mean @ weight), {c: named[c] for c in x}, {c: w for c, w in named.items() if isinstance(c, tuple)}
+
+
+def predict_mixed(df: DataFrame, model: tuple[float, dict, dict]) -> DataFrame:
+    """Adds ``prediction`` and ``all_seen``; unseen codes add nothing."""
+    base, numbers, codes = model
+    out = predict_additive(df, (base, codes))
+    return out.withColumn("prediction", sum((F.lit(w) * F.col(c) for c, w in numbers.items()), F.col("prediction")))

@@ -7,10 +7,10 @@ from itertools import combinations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import gates, manifests, metrics, sampling
+from ..operators import gates, manifests, metrics, readouts, sampling
 from ..registry import query
 from ..sources.tables import MANIFEST, TICKS, manifest, table, ticks
-from .series import SPLIT_SQL
+from .series import SPLIT_SQL, _coded
 
 
 def _rows():
@@ -340,3 +340,23 @@ def kmeans_rounds(spark, sf_dir):
     first = vectors.groupBy("label").agg(F.min_by("x", "vec_id").alias("x")).orderBy("label").collect()  # a row a label
     curve = clustering.lloyd_from(vectors.select("vec_id", "x"), "x", [list(r["x"]) for r in first], _ROUNDS)
     return spark.createDataFrame([(k, int(n), int(used), round(float(v), 5)) for k, (n, used, v) in enumerate(curve)], "round int, n long, used long, inertia double")
+
+
+@query()
+def mixed_ridge(spark, sf_dir):
+    """REG-07, REG-08, REG-09, AGG-18: held-out error of a ridge on continuous columns and codes together."""
+    rows = _coded(spark, sf_dir).withColumn("t", F.col("tick").cast("double"))
+    model = readouts.mixed_ridge(rows.where("split = 'train'"), ["value", "t"], ["c1", "c2"], "target", 8.0)
+    out = readouts.predict_mixed(rows, model)
+    return out.groupBy("split").agg(_rows(), F.avg((F.col("target") - F.col("prediction")) ** 2).alias("mse"), F.avg(F.col("all_seen").cast("double")).alias("seen"))
+
+
+@query("SELECT l_orderkey, l_linenumber, o_custkey, round(l_extendedprice, 2) AS price FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_orderkey IN (SELECT o_orderkey FROM orders ORDER BY sha256('wanted|' || o_orderkey::VARCHAR) LIMIT 50)")
+def segment_lookup(spark, sf_dir):
+    """SRC-26, SRC-29, JON-14, JON-26: the rows of fifty segments asked for by id, as a join on keys."""
+    from ..functions.scalar import score
+
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    wanted = o.orderBy(score("wanted", F.col("o_orderkey"))).limit(50)
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice")
+    return lines.join(F.broadcast(wanted), F.col("l_orderkey") == F.col("o_orderkey")).select("l_orderkey", "l_linenumber", "o_custkey", F.round("l_extendedprice", 2).alias("price"))

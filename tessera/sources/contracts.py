@@ -66,3 +66,18 @@ def read_table(spark: SparkSession, path: str, digest: str | None = None) -> Dat
     if found is None or digest and found["hash"] != digest:
         raise ValueError(f"{path} has no such contract")
     return spark.read.parquet(f"{path}/{found['data']}")
+
+
+def save_codebook(spark: SparkSession, path: str, levels: list[list[list[float]]], mean: list[float], std: list[float], contract: dict) -> str:
+    """Centers by level and code, and the normalisation before them (level -1).  Written once: an equal codebook leaves the table as it
+    is, another one is refused."""
+    rows = [(-1, 0, list(map(float, mean))), (-1, 1, list(map(float, std)))] + [(k, c, list(map(float, x))) for k, level in enumerate(levels) for c, x in enumerate(level)]
+    values = hashlib.sha256(json.dumps(rows).encode()).hexdigest()
+    return write_table(spark.createDataFrame(rows, "level int, code int, center array<double>"), path, contract | {"values": values})
+
+
+def load_codebook(spark: SparkSession, path: str) -> tuple[list[list[list[float]]], list[float], list[float]]:
+    """(levels, mean, std); a codebook is a model of bounded size, so it comes to the driver."""
+    rows = {(r["level"], r["code"]): list(r["center"]) for r in read_table(spark, path).collect()}
+    depth = max(k for k, _ in rows) + 1
+    return [[rows[k, c] for c in range(sum(level == k for level, _ in rows))] for k in range(depth)], rows[-1, 0], rows[-1, 1]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType
@@ -37,6 +39,22 @@ def read_object_listing(spark: SparkSession, path: str, scheme: str = "gs") -> D
     return blocks.where(name != "").select(F.concat(F.lit(f"{scheme}://"), name).alias("object"), field("Content-Length").cast("long").alias("bytes"), field("crc32c").alias("crc32c"))
 
 
+def file_checksums(spark: SparkSession, path: str) -> DataFrame:
+    """(file, bytes, sha256) of all files below a path, each read whole by one task: for shards, which are of bounded size."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    return files.select(F.col("path").alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+
+
+def write_report(spark: SparkSession, path: str, payload: dict) -> None:
+    """One JSON document with sorted keys; the path must be new, and counts once Spark's commit mark is there."""
+    text = json.dumps(payload, sort_keys=True, ensure_ascii=False)
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(path)
+
+
+def read_report(spark: SparkSession, path: str) -> dict:
+    return json.loads(spark.read.text(path).first()[0])
+
+
 def ragged_offsets(df: DataFrame, key: str, size: str, block: int = 1000) -> DataFrame:
     """Adds ``start`` and ``stop`` of each row's values in one flat array, rows in order of an integer ``key``.
 

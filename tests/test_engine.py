@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tessera import registry
 from tessera.functions import scalar
 from tessera.operators import clustering, gates, manifests, metrics, readouts, sampling, series
-from tessera.sources import contracts
+from tessera.sources import contracts, files
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -209,6 +209,40 @@ def test_rounds_from_given_centers(spark):
     assert [g[:2] for g in got] == [w[:2] for w in want] and np.allclose([g[2] for g in got], [w[2] for w in want])
 
 
+def test_mixed_ridge_equals_a_plain_solution(spark):
+    rng = np.random.default_rng(5)
+    n = 400
+    a, b, c1, c2 = rng.normal(size=n), rng.normal(size=n) * 3 + 1, rng.integers(0, 4, n), rng.integers(0, 3, n)
+    y = 2 * a - b + c1 * 0.5 + (c2 == 2) + rng.normal(size=n) * 0.1
+    df = spark.createDataFrame([tuple(map(float, (p, q, r))) + (int(u), int(v), 7) for p, q, r, u, v in zip(a, b, y, c1, c2, strict=True)], "a double, b double, y double, c1 int, c2 int, same int").repartition(3)
+    base, numbers, codes = readouts.mixed_ridge(df, ["a", "b"], ["c1", "c2", "same"], "y", 5.0)
+    x = np.column_stack([a, b, *(c1 == k for k in range(4)), *(c2 == k for k in range(3))]).astype(float)
+    mean, scale = x.mean(0), x.std(0)
+    z = (x - mean) / scale
+    w = np.linalg.solve(z.T @ z / n + 5.0 / n * np.eye(9), z.T @ (y - y.mean()) / n) / scale
+    assert np.allclose([numbers["a"], numbers["b"], *(codes["c1", k] for k in range(4)), *(codes["c2", k] for k in range(3))], w) and codes["same", 7] == 0 and np.isclose(base, y.mean() - mean @ w)
+    out = readouts.predict_mixed(df, (base, numbers, codes)).select("a", "prediction").toPandas().sort_values("a")
+    assert np.allclose(out["prediction"], (base + x @ w)[np.argsort(a)])
+
+
+def test_codebooks_reports_and_checksums(spark, tmp_path):
+    import hashlib
+
+    levels = [[[0.0, 1.0], [2.0, 3.0]], [[0.5, 0.25], [1.0, 1.5]]]
+    path = f"{tmp_path}/book"
+    contracts.save_codebook(spark, path, levels, [0.0, 1.0], [1.0, 2.0], {"k": 2})
+    contracts.save_codebook(spark, path, levels, [0.0, 1.0], [1.0, 2.0], {"k": 2})
+    assert contracts.load_codebook(spark, path) == (levels, [0.0, 1.0], [1.0, 2.0])
+    with pytest.raises(ValueError):
+        contracts.save_codebook(spark, path, levels[:1], [0.0, 1.0], [1.0, 2.0], {"k": 2})
+    files.write_report(spark, f"{tmp_path}/report", {"b": 1, "a": [2, "ü"]})
+    assert files.read_report(spark, f"{tmp_path}/report") == {"a": [2, "ü"], "b": 1}
+    (tmp_path / "shards/deep").mkdir(parents=True)
+    (tmp_path / "shards/deep/one.bin").write_bytes(b"abc")
+    got = files.file_checksums(spark, f"{tmp_path}/shards").collect()
+    assert [(r["bytes"], r["sha256"]) for r in got] == [(3, hashlib.sha256(b"abc").hexdigest())]
+
+
 def _rows(frame, columns):
     def plain(v):
         if v is None or isinstance(v, float) and math.isnan(v):
