@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..shipping import ensure_importable
 from ..functions.scalar import score, squared_distance, subtract
+from ..sources import files
 
 
 def assign_nearest(df: DataFrame, vector: str, centers: list[list[float]], code: str = "code", distance: str = "distance") -> DataFrame:
@@ -95,11 +96,16 @@ def initial_centers(df: DataFrame, vector: str, key: str, k: int, sample: int =
     return x[chosen]
 
 
-def lloyd(df: DataFrame, vector: str, key: str, k: int, rounds: int = 50, tolerance: float = 1e-3, patience: int = 2) -> tuple[np.ndarray, list[float]]:
-    """(centers, mean inertia by round).  Empty centers move to the hardest vectors (distance, then key); it stops after
+def lloyd(df: DataFrame, vector: str, key: str, k: int, rounds: int = 50, tolerance: float = 1e-3, patience: int = 2, checkpoint: str | None = None) -> tuple[np.ndarray, list[float]]:
+    """(centers, mean inertia by round).  With a new or own folder as ``checkpoint`` each round is stored, and a run that was cut off goes on.  Empty centers move to the hardest vectors (distance, then key); it stops after
     ``patience`` rounds that change the inertia by less than ``tolerance`` with no center empty."""
-    centers, curve, calm = initial_centers(df, vector, key, k), [], 0
-    for _ in range(rounds):
+    spark, state = df.sparkSession, None
+    while checkpoint and (found := files.found_report(spark, f"{checkpoint}/round-{0 if state is None else len(state['curve']):04d}")):
+        state = found
+    centers, curve, calm = (np.array(state["centers"]), state["curve"], state["calm"]) if state else (initial_centers(df, vector, key, k), [], 0)
+    for _ in range(rounds - len(curve)):
+        if calm >= patience:
+            break
         sums, counts, inertia = _partial_sums(df, vector, centers)
         curve.append(inertia / max(1.0, counts.sum()))
         new = np.where(counts[:, None] > 0, sums / np.maximum(counts, 1)[:, None], centers)
@@ -109,8 +115,8 @@ def lloyd(df: DataFrame, vector: str, key: str, k: int, rounds: int = 50, tolera
                 new[spot] = r[0]
         centers = new
         calm = calm + 1 if len(curve) > 1 and not empty and abs(curve[-2] - curve[-1]) / max(curve[-2], 1e-12) < tolerance else 0
-        if calm >= patience:
-            break
+        if checkpoint:
+            files.write_report(spark, f"{checkpoint}/round-{len(curve) - 1:04d}", {"centers": centers.tolist(), "curve": curve, "calm": calm})
     return centers, curve
 
 

@@ -55,6 +55,12 @@ def read_report(spark: SparkSession, path: str) -> dict:
     return json.loads(spark.read.text(path).first()[0])
 
 
+def found_report(spark: SparkSession, path: str) -> dict | None:
+    """The report, if it was written to its end."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return read_report(spark, path) if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at) else None
+
+
 def ragged_offsets(df: DataFrame, key: str, size: str, block: int = 1000) -> DataFrame:
     """Adds ``start`` and ``stop`` of each row's values in one flat array, rows in order of an integer ``key``.
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tessera import registry
 from tessera.functions import scalar
 from tessera.operators import clustering, gates, manifests, metrics, readouts, sampling, series
-from tessera.sources import contracts, files
+from tessera.sources import contracts, exports, files
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -243,6 +243,33 @@ def test_codebooks_reports_and_checksums(spark, tmp_path):
     assert [(r["bytes"], r["sha256"]) for r in got] == [(3, hashlib.sha256(b"abc").hexdigest())]
 
 
+def test_exports_resume_and_are_complete(spark, tmp_path):
+    df = spark.createDataFrame([(f"s{k % 5}", k, None if k % 7 == 0 else f"v{k}") for k in range(200)], "shard string, k long, v string").repartition(3)
+    path = f"file://{tmp_path}/x"
+    assert exports.export(df.where("shard < 's2'"), path, "shard") == 2
+    (tmp_path / "x/data/shard=s3").mkdir()
+    spark.createDataFrame([(1, "left over")], "k long, v string").write.mode("append").parquet(f"{path}/data/shard=s3")  # a run that was cut off
+    with pytest.raises(ValueError, match="3 parts are missing"):
+        exports.finalize(df, path, "shard", {"n": 1})
+    assert exports.export(df, path, "shard") == 3 and exports.export(df, path, "shard") == 0
+    whole = exports.finalize(df, path, "shard", {"n": 1})
+    assert _values(whole, "shard", "k") == _values(df, "shard", "k") and exports.changed_parts(spark, path, "shard").count() == 0
+    spark.createDataFrame([(1, "more")], "k long, v string").write.mode("append").parquet(f"{path}/data/shard=s1")
+    assert [r[0] for r in exports.changed_parts(spark, path, "shard").collect()] == ["s1"]
+    with pytest.raises(ValueError, match="every row"):
+        exports.export(spark.createDataFrame([(None, 1)], "shard string, k long"), path, "shard")
+
+
+def test_iterations_resume(spark, tmp_path):
+    x = np.random.default_rng(3).normal(size=(300, 3)).round(3)
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "id int, x array<double>")
+    want, curve = clustering.lloyd(df, "x", "id", 4, rounds=5)
+    folder = f"file://{tmp_path}/rounds"
+    _, part = clustering.lloyd(df, "x", "id", 4, rounds=2, checkpoint=folder)
+    got, whole = clustering.lloyd(df, "x", "id", 4, rounds=5, checkpoint=folder)
+    assert len(part) == 2 and np.allclose(whole, curve) and np.allclose(got, want) and whole[:2] == part
+
+
 def _rows(frame, columns):
     def plain(v):
         if v is None or isinstance(v, float) and math.isnan(v):
