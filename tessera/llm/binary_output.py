@@ -7,7 +7,7 @@ then the number of frames, a descriptor byte and the magic number).  Any zstanda
 ids; a reader with the table fetches and decompresses only the frames that hold the documents asked for.
 
 Defined results: a null or empty text has only the end id; a null doc_id sorts before all others and stays
-null; equal doc_ids are ordered by text; repeated rows are written as often as they come; an empty table
+null; equal doc_ids are ordered by a hash of the text, then by text; repeated rows are written as often as they come; an empty table
 writes no file and returns no row; other columns of the input are not read.
 """
 
@@ -181,8 +181,11 @@ def write_token_files(
             system.move(at, f"{root}/{name}")
             yield pa.RecordBatch.from_pydict({"file": [name], "part": [part], "docs": [docs_n], "tokens": [tokens_n]}, schema=pa.schema([("file", pa.string()), ("part", pa.int32()), ("docs", pa.int64()), ("tokens", pa.int64())]))
 
-    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    ordered = narrow.repartitionByRange(files, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
+    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    # texts of one id, such as null, are dealt by their hashes, or they would all be one file
+    order = [F.col("doc_id").asc_nulls_first(), F.col("tie").asc()]
+    dealt = narrow.withColumn("tie", F.xxhash64("text")).repartitionByRange(files, *order)
+    ordered = dealt.sortWithinPartitions(*order, F.col("text").asc_nulls_first()).select("doc_id", "text")
     rows = ordered.mapInArrow(write, "file string, part int, docs long, tokens long").collect()  # a row a file
     return spark.createDataFrame(rows, "file string, part int, docs long, tokens long")
 

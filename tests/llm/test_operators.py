@@ -78,6 +78,14 @@ def test_token_files_round_trip(spark, odd, empty, tokenizer, tmp_path):
     assert binary_output.token_ids(empty, BPE).collect() == []
 
 
+def test_rows_of_one_id_are_dealt_over_files(spark, tmp_path):
+    rows = spark.createDataFrame([(None, f"text number {k}") for k in range(300)] + [(k, "x") for k in range(10)], SCHEMA)
+    files = binary_output.write_token_files(rows, f"file://{tmp_path}/t", BPE, 2, files=4)
+    assert files.count() == 4 and max(r["docs"] for r in files.collect()) < 200
+    got = sorted(binary_output.read_token_files(files, f"file://{tmp_path}/t").collect(), key=lambda r: r["start"])
+    assert [r["doc_id"] for r in got] == [None] * 300 + list(range(10))
+
+
 def test_reader_unpacks_only_what_is_asked_for(tmp_path):
     path = tmp_path / "a.tzst"
     docs = [(k, _bytes(range(k * 10, k * 10 + 500))) for k in range(40)] + [(None, b"")]
