@@ -109,7 +109,7 @@ class Distance:
     Two tables of at most ``most`` windows: a full one becomes the older, and what is still in use moves back.
     """
 
-    def __init__(self, ordinary: bytes, toxic: bytes, most: int = 400_000):
+    def __init__(self, ordinary: bytes, toxic: bytes, most: int = 100_000):
         import zstandard as z
 
         def compressor(content: bytes):
