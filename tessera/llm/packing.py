@@ -60,11 +60,11 @@ class Bm25Shard:
         import numpy as np
 
         self.np, self.query_terms = np, query_terms
-        each = [np.unique(np.frombuffer(x, "<u4"), return_counts=True) for x in ids]
+        each = [np.unique(np.frombuffer(x, "<u4"), return_counts=True) for x in ids]  # a block's largest array: the narrowest types serve
         self.begin = np.cumsum([0] + [len(t) for t, _ in each])
-        term = np.concatenate([t for t, _ in each]).astype(np.int64)
-        tf = np.concatenate([c for _, c in each]).astype(np.float64)
-        doc = np.repeat(np.arange(len(ids)), np.diff(self.begin))
+        term = np.concatenate([t for t, _ in each]).astype(np.int32)
+        tf = np.concatenate([c for _, c in each]).astype(np.float32)  # whole numbers
+        doc = np.repeat(np.arange(len(ids), dtype=np.int32), np.diff(self.begin))
         length = np.array([len(x) // 4 for x in ids], np.float64)
         self.count = np.bincount(term)
         corpus = corpus or Corpus(self.count, len(ids), length.mean())
