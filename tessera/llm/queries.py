@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import binary_output, decontamination, fingerprints, html_text, language_id, licenses, near_duplicates, packing, token_counts, toxicity
+from . import alignment, binary_output, decontamination, fingerprints, html_text, language_id, licenses, line_dedup, merkle, near_duplicates, packing, token_counts, toxicity
 from .common import shared_dir, tokenizer_path, written
 
-WORD_BPE, PIECES = "word_bpe_49k.json", "piece_bpe_32k.model"
+WORD_BPE, BYTE_BPE, PIECES = "word_bpe_49k.json", "byte_bpe_50k.json", "piece_bpe_32k.model"
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -84,14 +84,28 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binary_output.token_ids(_table(spark, sf_dir, "documents"), tokenizer_path(WORD_BPE), 2)
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(_table(spark, sf_dir, "documents"), tokenizer_path(BYTE_BPE), tokenizer_path(PIECES))[0]
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.dedup_lines(_table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proofs of all leaves; every fifth document or so, by its id's checksum, is tampered with."""
+    return merkle.proofs(_table(spark, sf_dir, "documents"), _remainder(5) == 0)
+
+
 def queries() -> dict[str, Query]:
     import corpus_pipeline
 
-    ops = (op1_fingerprints, op2_packing, op3_decontamination, op4_token_counts, op5_language, op6_licenses, op7_html, op8_near_duplicates, op9_toxicity, op10_token_files)
+    ops = (op1_fingerprints, op2_packing, op3_decontamination, op4_token_counts, op5_language, op6_licenses, op7_html, op8_near_duplicates, op9_toxicity, op10_token_files, op11_alignment, op12_line_dedup, op13_merkle)
     return {f.__name__: f for f in ops} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
     import corpus_pipeline
 
-    return {"op6_licenses": licenses.scan_sql()} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
+    return {"op6_licenses": licenses.scan_sql(), "op12_line_dedup": line_dedup.digests_sql(), "op13_merkle": merkle.proofs_sql()} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
