@@ -4,7 +4,8 @@ Every change is a signed row: an insert adds a document and its tokens, a delete
 old one away and adds the new.  A batch is summed up by key before it is stored, so the store grows with keys x
 batches and never with documents.  A batch is written aside and takes its name by a rename that fails if the name is taken, so
 commits are idempotent, whoever writes.  Compaction folds committed batches into a snapshot that names them, so a batch it holds isn't
-added twice; folders that it makes superfluous go with the next compaction, so readers of older totals aren't cut off.
+added twice; folders that it makes superfluous go with the next compaction, so readers of older totals aren't cut off.  The folder must be on a file
+system whose renames are atomic, such as HDFS; object stores that copy instead aren't meant.
 
 Defined results: a null text has no tokens; a null source, language or version is a key of its own; keys whose
 documents and tokens are all gone are left out; repeated rows count as often as they come; a very long text costs in proportion; an empty batch commits;
@@ -78,50 +79,62 @@ class Rollup:
         """Commit a batch of signed rows once; False if it had been committed before, by another writer too."""
         if not re.fullmatch(r"[\w-]+", batch_id):
             raise ValueError("a batch id has letters, digits, _ and - only")
-        if batch_id in self._committed("batches") or self._held([batch_id]):
+        if batch_id in self._committed("batches") or self._held([batch_id], self._latest()):
             return False
         total = rows.groupBy(*KEYS).agg(F.sum("documents").alias("documents"), F.sum("tokens").alias("tokens"))
         return self._commit("batches", batch_id, total.write.parquet)
 
     def _latest(self) -> str | None:
         names = self._committed("snapshots")
-        return f"{self.folder}/snapshots/{names[-1]}" if names else None
+        return names[-1] if names else None
 
-    def _held(self, names: list[str]) -> set[str]:
-        """Those of ``names`` that the latest snapshot holds; the table of all names stays in its files."""
-        at = self._latest()
-        return {r[0] for r in self.spark.read.schema("batch string").parquet(f"{at}/held").where(F.col("batch").isin(names)).collect()} if at and names else set()
+    def _held(self, names: list[str], snapshot: str | None) -> set[str]:
+        """Those of ``names`` that a snapshot holds; the table of all names stays in its files."""
+        if not snapshot or not names:
+            return set()
+        held = self.spark.read.schema("batch string").parquet(f"{self.folder}/snapshots/{snapshot}/held")
+        return {r[0] for r in held.where(F.col("batch").isin(names)).collect()}
 
-    def totals(self) -> DataFrame:
-        """(source, lang, version, documents, tokens), summed over all committed batches.
+    def _state(self) -> tuple[list[str], set[str], str | None]:
+        """(batches, those of them that the snapshot holds, snapshot), of one listing.
 
-        A table that was asked for stays readable until the second compaction after that.
+        Batches are listed first: what another writer folds away after that is in the snapshot that is found then.
         """
-        at, batches = self._latest(), self._committed("batches")
-        held = self._held(batches)
+        batches = self._committed("batches")
+        snapshot = self._latest()
+        return batches, self._held(batches, snapshot), snapshot
+
+    def _sum(self, batches: list[str], held: set[str], snapshot: str | None) -> DataFrame:
         tables = [self.spark.read.schema(SCHEMA).parquet(f"{self.folder}/batches/{n}") for n in batches if n not in held]
-        tables += [self.spark.read.schema(SCHEMA).parquet(f"{at}/totals")] if at else []
+        tables += [self.spark.read.schema(SCHEMA).parquet(f"{self.folder}/snapshots/{snapshot}/totals")] if snapshot else []
         total = reduce(DataFrame.unionAll, tables or [self.spark.createDataFrame([], SCHEMA)]).groupBy(*KEYS).agg(F.sum("documents").alias("documents"), F.sum("tokens").alias("tokens"))
         return total.where("documents <> 0 OR tokens <> 0")
 
+    def totals(self) -> DataFrame:
+        """(source, lang, version, documents, tokens), summed over all committed batches.
+
+        A table that was asked for stays readable until the second compaction after that.
+        """
+        return self._sum(*self._state())
+
     def compact(self) -> bool:
         """Fold the committed batches into a new snapshot; then drop what the snapshot before this one had made superfluous.
 
-        False if another writer made a snapshot meanwhile.
+        Totals and names come from one listing, so a batch that is committed meanwhile is in neither.  False if another writer made a snapshot meanwhile.
         """
-        at, batches, snapshots = self._latest(), self._committed("batches"), self._committed("snapshots")
-        held, total = self._held(batches), self.totals()
+        batches, held, snapshot = self._state()
+        total = self._sum(batches, held, snapshot)
         names = self.spark.createDataFrame([(n,) for n in batches if n not in held], "batch string")
-        if at:
-            names = names.unionAll(self.spark.read.schema("batch string").parquet(f"{at}/held"))
+        if snapshot:
+            names = names.unionAll(self.spark.read.schema("batch string").parquet(f"{self.folder}/snapshots/{snapshot}/held"))
 
         def write(folder):
             total.write.parquet(f"{folder}/totals")
             names.write.parquet(f"{folder}/held")
 
-        number = int(snapshots[-1]) + 1 if snapshots else 0
-        if not self._commit("snapshots", f"{number:08d}", write):
+        older = [n for n in self._committed("snapshots") if snapshot and n < snapshot]
+        if not self._commit("snapshots", f"{int(snapshot) + 1 if snapshot else 0:08d}", write):
             return False
-        for gone in [f"batches/{n}" for n in held] + [f"snapshots/{n}" for n in snapshots[:-1]]:
+        for gone in [f"batches/{n}" for n in held] + [f"snapshots/{n}" for n in older]:
             self._fs.delete(self._path(f"{self.folder}/{gone}"), True)
         return True

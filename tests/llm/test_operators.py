@@ -457,6 +457,28 @@ def test_short_items_have_their_true_budget():
 
 # --- token counts ----------------------------------------------------------------------------------
 
+def test_a_batch_that_is_committed_during_a_compaction_counts_once(spark, tmp_path, monkeypatch):
+    rollup = token_counts.Rollup(spark, f"file://{tmp_path}/r")
+    one = lambda n: token_counts.signed(spark.createDataFrame([("a", "en", n)], "source string, lang string, tokens long"), 1, "v")
+    for steps in ("_committed", "_latest", "_held", "_sum", "_commit"):
+        writer, plain, done = token_counts.Rollup(spark, rollup.folder), getattr(rollup, steps), []
+
+        def between(*args, plain=plain, done=done, writer=writer, steps=steps):
+            out = plain(*args)
+            if not done:
+                done.append(writer.apply(f"during{steps}", one(5)))
+            return out
+
+        before = sum(r["tokens"] for r in rollup.totals().collect())
+        rollup.apply(f"before{steps}", one(10))
+        monkeypatch.setattr(rollup, steps, between)
+        assert rollup.compact() and done == [True]
+        monkeypatch.undo()
+        (row,) = rollup.totals().collect()
+        assert row["tokens"] == before + 15
+        assert rollup.compact() and rollup.totals().collect() == [row]
+
+
 def test_rollup_is_idempotent(spark, tmp_path, tokenizer):
     rollup = token_counts.Rollup(spark, f"file://{tmp_path}/r")
     assert rollup.totals().collect() == []
