@@ -7,11 +7,12 @@
 3. Pages are read again with their host's template: its subtrees are deleted, and so are elements that the contract
    excludes by their tags, roles or names (menus, headers, footers, forms, scripts, comments, ...).  Inside
    an article only containers can be template, so a short paragraph that several articles share stays; inline
-   elements are never deleted alone, nor is a subtree with more than half of the page's text.  A name counts as a whole, or in parts if
-   the other parts only say where it stands; neither name nor
+   elements are never deleted alone, nor is a subtree with more than half of the page's text.  A name counts by its last part that doesn't only say
+   where the element stands, so ``user-comments`` goes and ``has-comments`` stays; neither name nor
    role drops a page's first ``article`` or ``main`` or what holds it; later ones may be readers' comments.
 
-The article is all outermost ``<article>`` and ``<main>`` elements together, else the whole body.  Blocks are
+The article is all outermost ``<article>`` and ``<main>`` elements together, or the whole body if there are none or if what else the body
+has is longer than they are (then they are teasers).  Blocks are
 joined by a space in page order; white space inside a block is one space; references are decoded.
 
 Defined results: null or empty html gives an empty text; a null or unparsable url is a host of its own (empty);
@@ -23,6 +24,7 @@ table gives no row; other columns are not read.
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 from html import unescape
 
 import xxhash
@@ -53,11 +55,14 @@ _STOP = re.compile(r"[>=]")
 _ATTRIBUTE = re.compile(r"(?:^|[\s\"'/])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _SPACE = re.compile(r"\s+")
 _PART = re.compile(r"[-_:]+")
+_CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
+_VERSION = re.compile(r"v?[0-9]*")
 _BLANK = re.compile(r"\s*")
 _HOST = re.compile(r"^\s*(?:[a-z][a-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", re.I)
 #: The page as a whole, which copies of one page repeat.
 WHOLE = frozenset(("#", "html", "body"))
 _PARTS = 16  #: into which a host's template candidates are dealt
+_SALTS = 32  #: into which a host's pages are dealt where templates are joined
 #: An element that begins closes these, up to the ancestor that holds them.
 _CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _CLOSE_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol pre section table ul".split())
@@ -71,19 +76,33 @@ class Node:
         self.tag, self.dropped, self.named, self.children, self.digest, self.size = tag, dropped, named, [], 0, 0
 
 
+#: Parts of a name after which a furniture word only says what a page has or lacks.
+HAS = frozenset("has have with no not without hide is".split())
+_LONG = tuple(sorted(n for n in NAMES if len(n) > 5))
+
+
+def _furniture_word(word: str) -> bool:
+    """A furniture word, or one glued to another word: ``adbanner``, ``usercomments``."""
+    return word in NAMES or word.endswith(_LONG) or any(word[:k] in NAMES and word[k:] in NAMES | PLACES or word[:k] in PLACES and word[k:] in NAMES for k in range(2, len(word) - 1))
+
+
+@lru_cache(1 << 16)
 def _names_furniture(name: str) -> bool:
-    """Whether a class or id means what the contract excludes: "nav", "site-nav", "cookie-banner", but not "has-sidebar"."""
-    if name in NAMES:
-        return True
-    parts = [p.rstrip("0123456789") for p in _PART.split(name)]
-    return not NAMES.isdisjoint(parts) and all(not p or p in NAMES or p in PLACES for p in parts)
+    """Whether a class or id names what the contract excludes, by its last part that is no place, number or version."""
+    parts = [p.rstrip("0123456789").lower() for p in _PART.split(_CAMEL.sub("-", name))]
+    while len(parts) > 1 and (parts[-1] in PLACES or _VERSION.fullmatch(parts[-1])):
+        parts.pop()
+    if not HAS.isdisjoint(parts):
+        return False
+    return _furniture_word(parts[-1])
 
 
 def _excluded_by_name(attributes: str) -> bool:
     for key, a, b, c in _ATTRIBUTE.findall(attributes):
-        key, value = key.lower(), (a or b or c).lower()
-        if key in ("class", "id") and any(map(_names_furniture, value.split())):
+        key, names = key.lower(), (a or b or c).split()
+        if key in ("class", "id") and any(map(_names_furniture, names)):
             return True
+        value = " ".join(names).lower()
         if key == "role" and value.strip() in ROLES or key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and "display:none" in value.replace(" ", ""):
             return True
     return False
@@ -248,7 +267,10 @@ def main_text(html: str | None, template: set[int] = frozenset()) -> str:
         else:
             work += reversed(node.children)
     whole = root.size
-    return _blocks(tops, template, whole) or _blocks([root], template, whole) or template and (_blocks(tops, set(), whole) or _blocks([root], set(), whole)) or ""
+    if found := _blocks(tops, template, whole):
+        body = _blocks([root], template, whole)
+        return found if 2 * len(found) >= len(body) else body
+    return _blocks([root], template, whole) or template and (_blocks(tops, set(), whole) or _blocks([root], set(), whole)) or ""
 
 
 def host_of(url: str | None) -> str:
@@ -325,5 +347,8 @@ def extract(pages: DataFrame, share: float = 0.2, least: int = 5, id_col: str =
     if size <= BROADCAST_BYTES // 4:  # checked; beyond that the templates are joined
         shared = pages.sparkSession.sparkContext.broadcast({r[0]: frozenset(r[1]) for r in templates.collect()})
     else:
-        rows = _with_host(rows).join(templates.hint("merge"), "host", "left").select("page_id", "url", "html", "template")
+        # a host may have a third of all pages: they are dealt over salts, and its template is copied to each
+        salts = templates.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+        salted = _with_host(rows).withColumn("salt", F.pmod(F.xxhash64("page_id", "html"), F.lit(_SALTS)).cast("int"))
+        rows = salted.join(salts.hint("merge"), ["host", "salt"], "left").select("page_id", "url", "html", "template")
     return rows.mapInArrow(run, f"page_id {rows.schema['page_id'].dataType.simpleString()}, url string, text string, n_chars long")

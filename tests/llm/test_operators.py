@@ -681,6 +681,28 @@ def test_markup():
     assert text(deep, {1}) == "end"
 
 
+def test_furniture_goes_by_the_last_part_of_its_name():
+    text = html_text.main_text
+    for name in ("user-comments", "userComments", "usercomments", "page-footer", "cookie-consent-box-v2", "adbanner", "comment-list", "nav-2", "ad slot", "sidebar_right"):
+        assert text(f"<article><p>Body.</p><div class='{name}'><p>comment</p></div></article>") == "Body.", name
+    for name in ("has-comments", "no-sidebar", "withFooter", "article-body", "shade", "download", "post-header-title", "loadmore"):
+        assert text(f"<article><p>Body.</p><div class='{name}'><p>more</p></div></article>") == "Body. more", name
+
+
+def test_the_larger_text_is_the_main_one():
+    text = html_text.main_text
+    assert text("<body><div class='top'><article><p>teaser</p></article></div><div id=content><p>long real article text</p></div></body>") == "teaser long real article text"
+    assert text("<body><article><p>the long real article text</p></article><div><p>one line</p></div></body>") == "the long real article text"
+
+
+def test_a_joined_template_gives_what_a_broadcast_one_does(spark, monkeypatch):
+    page = lambda k: f"<body><div><p>every page of this host has this line</p></div><article><p>Own text {k % 23} of the page, which is longer than what all pages have.</p></article><p>tail {k}</p></body>"
+    rows = spark.createDataFrame([(k, f"https://{'hot' if k % 3 else f'h{k % 4}'}.example/p{k}", page(k)) for k in range(120)], "page_id long, url string, html string")
+    want = sorted(map(tuple, html_text.extract(rows).collect()))
+    monkeypatch.setattr(html_text, "BROADCAST_BYTES", 0)
+    assert sorted(map(tuple, html_text.extract(rows).collect())) == want and all("every page" not in r[2] for r in want)
+
+
 # --- toxicity --------------------------------------------------------------------------------------
 
 def test_toxicity_on_held_out_rows(spark, odd, empty):
