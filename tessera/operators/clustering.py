@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..shipping import ensure_importable
 from ..functions.scalar import score, squared_distance, subtract
-from ..sources import files
+from ..sources import commits, files
 
 
 def assign_nearest(df: DataFrame, vector: str, centers: list[list[float]], code: str = "code", distance: str = "distance") -> DataFrame:
@@ -100,7 +100,10 @@ def lloyd(df: DataFrame, vector: str, key: str, k: int, rounds: int = 50, tolera
     """(centers, mean inertia by round).  With a new or own folder as ``checkpoint`` each round is stored, and a run that was cut off goes on.  Empty centers move to the hardest vectors (distance, then key); it stops after
     ``patience`` rounds that change the inertia by less than ``tolerance`` with no center empty."""
     spark, state = df.sparkSession, None
+    own = {"k": k, "tolerance": tolerance, "patience": patience, "rows": str(df.select(F.xxhash64(key, vector).cast("decimal(38,0)").alias("h")).agg(F.struct(F.count(F.lit(1)), F.sum("h"))).first()[0])} if checkpoint else {}
     while checkpoint and (found := files.found_report(spark, f"{checkpoint}/round-{0 if state is None else len(state['curve']):04d}")):
+        if found.get("identity") != own:
+            raise ValueError(f"{checkpoint} holds rounds of another model or table")
         state = found
     centers, curve, calm = (np.array(state["centers"]), state["curve"], state["calm"]) if state else (initial_centers(df, vector, key, k), [], 0)
     for _ in range(rounds - len(curve)):
@@ -116,7 +119,7 @@ def lloyd(df: DataFrame, vector: str, key: str, k: int, rounds: int = 50, tolera
         centers = new
         calm = calm + 1 if len(curve) > 1 and not empty and abs(curve[-2] - curve[-1]) / max(curve[-2], 1e-12) < tolerance else 0
         if checkpoint:
-            files.write_report(spark, f"{checkpoint}/round-{len(curve) - 1:04d}", {"centers": centers.tolist(), "curve": curve, "calm": calm})
+            files.write_report(spark, f"{checkpoint}/round-{len(curve) - 1:04d}", {"identity": own, "centers": centers.tolist(), "curve": curve, "calm": calm})
     return centers, curve
 
 
@@ -130,13 +133,21 @@ def lloyd_from(df: DataFrame, vector: str, centers: list[list[float]], rounds: i
     return curve
 
 
-def train_residual_quantizer(df: DataFrame, vector: str, key: str, k: int, levels: int, **options) -> list[np.ndarray]:
-    """Centers of each level; a level is fitted on what the ones before leave over, as a lazy projection."""
-    out = []
-    for _ in range(levels):
-        centers, _curve = lloyd(df, vector, key, k, **options)
+def train_residual_quantizer(df: DataFrame, vector: str, key: str, k: int, levels: int, checkpoint: str | None = None, **options) -> list[np.ndarray]:
+    """Centers of each level; a level is fitted on what the ones before leave over, which is written once a level.  In ``checkpoint`` each level
+    has a folder of its own; rounds of another k, options or table are refused."""
+    spark, out = df.sparkSession, []
+    folder = checkpoint or commits.scratch(spark, "residuals")
+    df = df.select(key, vector)
+    for level in range(levels):
+        centers, _curve = lloyd(df, vector, key, k, checkpoint=f"{folder}/level-{level}/rounds" if checkpoint else None, **options)
         out.append(centers)
-        df = residual(assign_nearest(df.select(key, vector), vector, centers.tolist()), vector, "code", centers.tolist()).select(key, vector)
+        if level + 1 < levels:
+            at = f"{folder}/level-{level}/residuals"
+            if not files.is_written(spark, at):
+                left = residual(assign_nearest(df, vector, centers.tolist()), vector, "code", centers.tolist())
+                left.select(key, vector).write.mode("overwrite").parquet(at)
+            df = spark.read.parquet(at)
     return out
 
 

@@ -57,8 +57,13 @@ def read_report(spark: SparkSession, path: str) -> dict:
 
 def found_report(spark: SparkSession, path: str) -> dict | None:
     """The report, if it was written to its end."""
+    return read_report(spark, path) if is_written(spark, path) else None
+
+
+def is_written(spark: SparkSession, path: str) -> bool:
+    """Whether a folder has Spark's commit mark."""
     at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    return read_report(spark, path) if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at) else None
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
 
 
 def ragged_offsets(df: DataFrame, key: str, size: str, block: int = 1000) -> DataFrame:
