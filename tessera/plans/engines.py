@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import codebooks, gram, sampling
+from ..operators import codebooks, gates, gram, sampling
 from ..registry import query
 from ..sources import files
 from ..sources.tables import TICKS, table, ticks
@@ -76,3 +76,10 @@ def rq_levels(spark, sf_dir):
     fits = codebooks.fit_residual_levels(rows, "x", "vec_id", 8, 3, "split", "learn", rounds=8)
     out = [(level, k, s, float(e)) for level, f in enumerate(fits) for k, errors in enumerate(f.curve) for s, e in errors.items()]
     return spark.createDataFrame(out, "level int, round int, split string, mse double")
+
+
+@query()
+def block_bootstrap(spark, sf_dir):
+    """GAT-01, GAT-02: resampled means of price changes by line, split over blocks by a binomial tree; rows are not ordered."""
+    rows = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("line"), (F.col("l_extendedprice") * (F.col("l_discount") - 0.05)).alias("delta"))
+    return gates.block_bootstrap(rows, "line", "delta", 200, "blocks", 10_000)

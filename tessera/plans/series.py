@@ -6,9 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import above, score, split_of, unit_interval
-from ..operators import metrics, sampling, series
+from ..operators import metrics, orders, sampling, series
 from ..registry import query
-from ..sources.tables import TICKS, ticks
+from ..sources.tables import TICKS, table, ticks
 
 
 def _r(*columns: str, digits: int = 6) -> dict:
@@ -238,7 +238,9 @@ def transition_coverage(spark, sf_dir):
 
 @query(f"WITH {TICKS} SELECT event_type, count(*) AS n, quantile_disc(value, 0.5) AS lower_median, round(quantile_cont(value, 0.1), 6) AS p10, round(quantile_cont(value, 0.9), 6) AS p90 FROM ticks GROUP BY 1")
 def quantile_summary(spark, sf_dir):
-    return ticks(spark, sf_dir).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY value)").alias("lower_median"), F.round(F.percentile("value", F.lit(0.1)), 6).alias("p10"), F.round(F.percentile("value", F.lit(0.9)), 6).alias("p90"))
+    """AGG-35: by counting in bins, so no type's values meet in one task."""
+    wanted = {"lower_median": (0.5, "disc"), "p10": (0.1, "linear"), "p90": (0.9, "linear")}
+    return orders.quantiles(table(spark, sf_dir, "events").select("event_type", "value"), ["event_type"], "value", wanted).withColumns({c: F.round(c, 6) for c in ("p10", "p90")})
 
 
 @query(f"{CADENCE}, k AS (SELECT user_id, value - lag(value) OVER (PARTITION BY user_id ORDER BY tick) AS d, gap <= 3600 AS inside FROM g) SELECT user_id, count(*) FILTER (WHERE inside) AS n_inside, round(sqrt(avg(d * d) FILTER (WHERE inside)), 6) AS rms_inside, round(sqrt(avg(d * d) FILTER (WHERE NOT inside)), 6) AS rms_outside FROM k GROUP BY 1")
@@ -251,13 +253,15 @@ def quantile_summary_in_out(spark, sf_dir):
 
 @query(f"WITH {TICKS}, n AS (SELECT user_id, list_sort(list(tick)) AS l FROM ticks GROUP BY 1) SELECT user_id, l[floor((len(l) - 1) * 0.5)::INT + 1] AS p50, l[floor((len(l) - 1) * 0.9)::INT + 1] AS p90 FROM n")
 def index_floor_quantiles(spark, sf_dir):
-    return ticks(spark, sf_dir).groupBy("user_id").agg(metrics.index_floor_quantile("tick", 0.5).alias("p50"), metrics.index_floor_quantile("tick", 0.9).alias("p90"))
+    """AGG-40: by counting in bins, so no user's ticks meet in one array."""
+    return orders.quantiles(ticks(spark, sf_dir).select("user_id", "tick"), ["user_id"], "tick", {"p50": (0.5, "floor"), "p90": (0.9, "floor")}).drop("n")
 
 
 @query(f"WITH {TICKS}, q AS (SELECT event_type, quantile_cont(value, [0.25, 0.5, 0.75]) AS q FROM ticks GROUP BY 1) SELECT event_type, round(q[1], 6) AS q1, round(q[2], 6) AS q2, round(q[3], 6) AS q3 FROM q")
 def event_thresholds(spark, sf_dir):
-    q = ticks(spark, sf_dir).groupBy("event_type").agg(F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
-    return q.select("event_type", *(F.round(F.get("q", F.lit(k)), 6).alias(f"q{k + 1}") for k in range(3)))
+    """FUN-21, FUN-22: quartiles by counting in bins."""
+    q = orders.quantiles(table(spark, sf_dir, "events").select("event_type", "value"), ["event_type"], "value", {f"q{k}": (k / 4, "linear") for k in (1, 2, 3)})
+    return q.select("event_type", *(F.round(f"q{k}", 6).alias(f"q{k}") for k in (1, 2, 3)))
 
 
 @query(f"WITH {TICKS}, q AS (SELECT event_type, quantile_cont(value, [0.25, 0.5, 0.75]) AS q FROM ticks GROUP BY 1) SELECT event_type, CASE WHEN value > q[1] THEN 1 ELSE 0 END + CASE WHEN value > q[2] THEN 1 ELSE 0 END + CASE WHEN value > q[3] THEN 1 ELSE 0 END AS level, count(*) AS n FROM ticks JOIN q USING (event_type) GROUP BY 1, 2")
