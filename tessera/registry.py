@@ -29,7 +29,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from .plans import checks, engines, manifests, models, motion, reports, samples, series, stores, tables, windows  # noqa: F401
+    from .plans import checks, engines, manifests, models, motion, reports, samples, series, stores, streams, tables, windows  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
