@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import codebooks, gates, gram, sampling
+from ..operators import codebooks, gates, gram, provenance, sampling
 from ..registry import query
 from ..sources import files
 from ..sources.tables import TICKS, table, ticks
@@ -83,3 +84,25 @@ def block_bootstrap(spark, sf_dir):
     """GAT-01, GAT-02: resampled means of price changes by line, split over blocks by a binomial tree; rows are not ordered."""
     rows = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("line"), (F.col("l_extendedprice") * (F.col("l_discount") - 0.05)).alias("delta"))
     return gates.block_bootstrap(rows, "line", "delta", 200, "blocks", 10_000)
+
+
+_BAD, _GONE = 17, 23
+
+
+@query(
+    f"WITH RECURSIVE o AS (SELECT o_orderkey AS report, sha256(o_orderkey::VARCHAR || '|' || o_orderstatus) AS hash, o_custkey, lag(o_orderkey) OVER w AS prev, lag(o_orderstatus) OVER w AS status, lead(o_orderkey) OVER w IS NULL AS root FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)), "
+    f"l AS (SELECT report, CASE WHEN report % {_GONE} = 0 THEN -prev ELSE prev END AS input, sha256(prev::VARCHAR || CASE WHEN report % {_BAD} = 0 THEN '?' ELSE '|' END || status) AS claimed FROM o WHERE prev IS NOT NULL), "
+    "c AS (SELECT report FROM o WHERE root UNION SELECT l.input FROM c JOIN l USING (report)) "
+    "SELECT CASE WHEN h.report IS NULL THEN 'missing' ELSE 'unequal' END AS kind, l.report, l.input FROM l SEMI JOIN c ON l.report = c.report LEFT JOIN o h ON h.report = l.input WHERE h.hash IS DISTINCT FROM l.claimed "
+    "UNION ALL SELECT 'unreachable', report, NULL FROM o WHERE report NOT IN (SELECT report FROM c)"
+)
+def provenance_audit(spark, sf_dir):
+    """JON-25: each order is a report that read the customer's order before it; some claim another hash, some name one that isn't there, and what lies behind these is out of reach."""
+    w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    key = F.col("o_orderkey")
+    rows = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderstatus").withColumns({"prev": F.lag("o_orderkey").over(w), "status": F.lag("o_orderstatus").over(w), "root": F.lead("o_orderkey").over(w).isNull()})
+    digest = lambda k, sign, status: F.sha2(F.concat(k.cast("string"), sign, status), 256)
+    reports = rows.select(key.alias("report"), digest(key, F.lit("|"), F.col("o_orderstatus")).alias("hash"))
+    sign = F.when(key % _BAD == 0, "?").otherwise("|")
+    links = rows.where("prev IS NOT NULL").select(key.alias("report"), F.when(key % _GONE == 0, -F.col("prev")).otherwise(F.col("prev")).alias("input"), digest(F.col("prev"), sign, F.col("status")).alias("claimed"))
+    return provenance.audit(reports, links, rows.where("root").select(key.alias("report")))
