@@ -75,7 +75,7 @@ def _start(df: DataFrame, vector: str, key: str, members: Sequence[Member]) -> d
     return out
 
 
-def _pass(df: DataFrame, vector: str, key: str, split: str | None, live: Sequence[Member], centers: dict[str, np.ndarray]):
+def scan_members(df: DataFrame, vector: str, key: str, split: str | None, live: Sequence[Member], centers: dict[str, np.ndarray]):
     """One scan: for each live member (sums, counts, {split: (error, rows)}, hardest vectors as (distance, key, vector))."""
     spark = df.sparkSession
     pools = sorted({m.pool for m in live if m.pool})
@@ -182,7 +182,7 @@ def fit_grid(df: DataFrame, vector: str, key: str, members: Sequence[Member], sp
     while live := [m for m in members if not state[m.name]["settled"] and len(state[m.name]["curve"]) < m.rounds]:
         if stop_after is not None and passes >= stop_after:
             break
-        found = _pass(df, vector, key, split, live, {m.name: np.array(state[m.name]["centers"], float) for m in live})
+        found = scan_members(df, vector, key, split, live, {m.name: np.array(state[m.name]["centers"], float) for m in live})
         if scans is not None:
             scans.append(len(live))
         for m in live:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from ..registry import query
 from ..sources import commits
-from ..sources.tables import TICKS, ticks
-from ..streaming import causal
+from ..sources.tables import TICKS, table, ticks
+from ..streaming import causal, online
 
 _GAP, _STRIDE, _SLICES = 43_200, 2, 5
 
@@ -36,3 +37,19 @@ def causal_stream(spark, sf_dir):
     stream = arriving(rows, f"{folder}/in", _SLICES, 6 * 3600)
     found = causal.causal_triples(stream, _STRIDE, "value", float(_GAP), "12 hours")
     return causal.run_to_end(found, f"{folder}/out", f"{folder}/checkpoint").select("user_id", "tick", "x0", "x1", "x2")
+
+
+@query()
+def streaming_codebook(spark, sf_dir):
+    """CLU-27: a codebook that follows a stream of vectors; two of its codes start where no vector is and are revived."""
+    folder = commits.scratch(spark, "streaming-codebook")
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("x"), F.pmod(F.xxhash64("vec_id"), F.lit(_SLICES)).cast("int").alias("slice"))
+    for k in range(_SLICES):
+        rows.where(F.col("slice") == k).drop("slice").write.parquet(f"{folder}/in/slice-{k:03d}")
+    stream = spark.readStream.schema("vec_id long, x array<double>").option("maxFilesPerTrigger", 4).parquet(f"{folder}/in/slice-*")
+    first = rows.groupBy("slice").agg(F.min_by("x", "vec_id").alias("x")).orderBy("slice").collect()  # a row a slice
+    away = [[1e3 * (k + 1)] * len(first[0]["x"]) for k in range(2)] if first else []
+    book = online.StreamingCodebook(spark, np.array([r["x"] for r in first] + away), f"{folder}/state", decay=0.5)
+    book.follow(stream, f"{folder}/checkpoint")
+    rows = [(k, c.tolist(), float(n), book.revived) for k, (c, n) in enumerate(zip(book.centers, book.size, strict=True))]
+    return spark.createDataFrame(rows, "code int, center array<double>, size double, revived int")

@@ -5,11 +5,12 @@ from __future__ import annotations
 import random
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tessera import registry
-from tessera.streaming import causal
+from tessera.streaming import causal, online
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "user_id long, tick long, sec double, value double, ok boolean"
@@ -78,6 +79,62 @@ def test_rows_after_the_watermark_are_left_out_and_state_goes(spark, tmp_path):
     assert {r[0] for r in state.select("key.user_id").distinct().collect()} == {9}
 
 
+# --- codebooks ---------------------------------------------------------------------------------------
+
+def cloud(spark, n=400, seed=0):
+    x = np.random.default_rng(seed).normal(0, 0.1, (n, 2)) + np.array([[0, 0], [5, 5], [0, 5]])[np.arange(n) % 3]
+    return spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, x array<double>"), x
+
+
+def test_dead_codes_revive_at_the_worst_residuals(spark, tmp_path):
+    df, x = cloud(spark)
+    book = online.StreamingCodebook(spark, np.array([[0.0, 0.0], [900.0, 900.0], [-900.0, 0.0]]), f"{tmp_path}/state", decay=0.3)
+    for k in range(8):
+        book.update(df, k)
+    near = ((x[:, None] - book.centers) ** 2).sum(2)
+    assert book.revived >= 2 and len(set(near.argmin(1).tolist())) == 3 and near.min(1).mean() < 0.1
+    plain = online.OnlineCodebook(np.array([[0.0, 0.0], [900.0, 900.0], [-900.0, 0.0]]), decay=0.3)
+    for k in range(8):
+        plain.update(df, k)
+    assert ((x[:, None] - plain.centers) ** 2).sum(2).min(1).mean() > 1
+
+
+def test_replays_and_restarts_change_nothing(spark, tmp_path):
+    df, _ = cloud(spark)
+    start = np.array([[0.0, 0.0], [900.0, 900.0], [4.0, 4.0]])
+    whole = online.StreamingCodebook(spark, start, f"{tmp_path}/a", decay=0.3)
+    for k in range(4):
+        whole.update(df.where(F.col("vec_id") % 4 == k), k)
+    cut = online.StreamingCodebook(spark, start, f"{tmp_path}/b", decay=0.3)
+    for k in (0, 0, 1):
+        cut.update(df.where(F.col("vec_id") % 4 == k).repartition(3), k)
+    again = online.StreamingCodebook(spark, start, f"{tmp_path}/b", decay=0.3)
+    for k in (1, 2, 2, 3, 0):
+        again.update(df.where(F.col("vec_id") % 4 == k), k)
+    assert np.allclose(whole.centers, again.centers) and np.allclose(whole.size, again.size) and whole.revived == again.revived
+    with pytest.raises(ValueError, match="comes after"):
+        again.update(df, 9)
+
+
+def test_a_codebook_follows_a_stream(spark, tmp_path):
+    df, x = cloud(spark)
+    folder = f"{tmp_path}/in"
+    source = lambda: spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/slice-*")
+    for k in range(3):
+        df.where(F.col("vec_id") % 3 == k).coalesce(1).write.parquet(f"{folder}/slice-{k}")
+        book = online.StreamingCodebook(spark, np.array([[0.0, 0.0], [900.0, 900.0], [4.0, 4.0]]), f"{tmp_path}/state", decay=0.3)
+        book.follow(source(), f"{tmp_path}/checkpoint")
+        assert book.last == k
+    assert book.revived >= 1 and np.isfinite(book.centers).all()
+
+
+def test_the_codebook_query_revives_codes(spark):
+    rows = registry.queries()["streaming_codebook"](spark, SF).collect()
+    assert len(rows) == 7 and rows[0]["revived"] >= 2 and all(max(map(abs, r["center"])) < 100 for r in rows)
+
+
+# --- queries -----------------------------------------------------------------------------------------
+
 @pytest.mark.parametrize("name", ["causal_stream"])
 def test_queries_equal_their_sql(spark, name):
     con = duckdb.connect()
