@@ -31,14 +31,14 @@ def build_manifest(keep: DataFrame, metadata: DataFrame, index: DataFrame, langu
 
     ``keep``: path, ranges array<struct<begin, end>>.  ``metadata``: path, episode_id, success, quality_flags array<string>,
     num_steps, institution_id, building_id, scene_id, task.  ``index``: path, num_steps, shard_name.  ``language``: episode_id,
-    texts array<string>.  ``objects``: shard_name, checksum; a kept row without one is ``missing_checksum``.  All joins are by equal keys on
+    texts array<string>, of which an episode that repeats keeps the least.  ``objects``: shard_name, checksum; a kept row without one is ``missing_checksum``.  All joins are by equal keys on
     sides that are unique by then.
     """
     ids = metadata.groupBy("episode_id").agg((F.count_distinct("path") > 1).alias("shared_id"))
     m, i = _by_path(metadata, "m"), _by_path(index, "i")
     rows = keep.join(m, "path", "left").join(i, "path", "left").withColumn("episode_id", F.col("m.episode_id")).join(ids, "episode_id", "left")
     if language is not None:
-        rows = rows.join(language.groupBy("episode_id").agg(F.first("texts").alias("texts")), "episode_id", "left")
+        rows = rows.join(language.groupBy("episode_id").agg(F.min("texts").alias("texts")), "episode_id", "left")
     else:
         rows = rows.withColumn("texts", F.array().cast("array<string>"))
     known = F.lit(True)
@@ -47,6 +47,7 @@ def build_manifest(keep: DataFrame, metadata: DataFrame, index: DataFrame, langu
         known = F.col("checksum").isNotNull()
     blank = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
     last = F.element_at("ranges.end", -1)
+    # fixed values: the reasons, in the order in which rules are asked
     reason = (
         F.when(F.col("m_n").isNull(), "missing_raw_metadata").when(F.col("m_n") > 1, "ambiguous_raw_metadata_path").when(F.col("i_n").isNull(), "missing_rlds_index")
         .when(F.col("i_n") > 1, "ambiguous_rlds_path").when(F.col("shared_id"), "ambiguous_raw_metadata_id")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import gates, manifests, metrics, readouts, sampling
 from ..registry import query
+from ..sources import commits
 from ..sources.tables import MANIFEST, TICKS, manifest, table, ticks
 from .series import SPLIT_SQL, _coded
 
@@ -44,7 +45,9 @@ def manifest_build(spark, sf_dir):
     customer, key = F.col("o_custkey"), F.col("o_orderkey")
     told = F.when(F.col("o_orderstatus") == "F", "/failure/").otherwise("/success/")
     raw = lambda kind: F.concat(F.lit("/nfs/r2d2-data-full/lab"), customer % 9, kind, F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit("/"), F.when(customer % 11 == 0, "again").otherwise(key.cast("string")), F.lit("/trajectory.h5"))
-    o = o.withColumns({"path": manifests.canonical_path(raw(told)), "other": manifests.canonical_path(raw(F.when(customer % 13 == 0, "/unknown/").otherwise(told))), "episode_id": key - F.when(customer % 5 == 0, 1).otherwise(0)})
+    paths = {"path": manifests.canonical_path(raw(told)), "other": manifests.canonical_path(raw(F.when(customer % 13 == 0, "/unknown/").otherwise(told))), "episode_id": key - F.when(customer % 5 == 0, 1).otherwise(0)}
+    # written once: each of the five sources would work the paths out again, in each of its filters
+    o = commits.stored(o.withColumns(paths), "manifest-sources")
     steps = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("num_steps"))
     c = F.col("c")
     ranges = F.when(c % 10 == 3, F.array().cast("array<struct<begin:bigint,end:bigint>>")).otherwise(F.array(F.struct(F.lit(1).cast("long").alias("begin"), (c % 4 + 2).alias("end"))))

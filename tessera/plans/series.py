@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.scalar import above, score, split_of, unit_interval
 from ..operators import metrics, orders, sampling, series
 from ..registry import query
+from ..sources import commits
 from ..sources.tables import TICKS, table, ticks
 
 
@@ -113,7 +114,7 @@ _BACKOFF = f"WITH {_CODED}, t AS (SELECT * FROM coded WHERE split = 'train'), g2
 
 @query(_BACKOFF + " SELECT split, depth, count(*) AS n, round(avg(prediction), 6) AS prediction FROM p GROUP BY 1, 2")
 def conditional_mean_backoff(spark, sf_dir):
-    rows = _coded(spark, sf_dir)
+    rows = commits.stored(_coded(spark, sf_dir), "coded")
     out = metrics.mean_backoff(rows.where("split = 'train'"), rows, ["c1", "c2"], "target", 20)
     return out.groupBy("split", "depth").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("prediction"), 6).alias("prediction"))
 
@@ -121,7 +122,7 @@ def conditional_mean_backoff(spark, sf_dir):
 @query(_BACKOFF + " SELECT split, count(*) AS n, round(avg((target - prediction) * (target - prediction)), 5) AS mse, round(1 - avg((target - prediction) * (target - prediction)) / greatest(avg((target - base) * (target - base)), 1e-12), 6) AS reduction FROM p GROUP BY 1")
 def regression_report(spark, sf_dir):
     """Held-out error of the backed-off mean and its reduction against the global mean of train."""
-    rows = _coded(spark, sf_dir)
+    rows = commits.stored(_coded(spark, sf_dir), "coded")
     train = rows.where("split = 'train'")
     out = metrics.mean_backoff(train, rows, ["c1", "c2"], "target", 20).join(F.broadcast(train.agg(F.avg("target").alias("base"))), F.lit(True))  # one row
     square = lambda c: F.avg((F.col("target") - F.col(c)) * (F.col("target") - F.col(c)))
@@ -133,14 +134,14 @@ _MAJ = f"WITH {_CODED}, t AS (SELECT * FROM coded WHERE split = 'train'), m2 AS
 
 @query(_MAJ + " SELECT split, depth, prediction, count(*) AS n, count(*) FILTER (WHERE event_type = prediction) AS hits FROM p GROUP BY 1, 2, 3")
 def majority_backoff(spark, sf_dir):
-    rows = _coded(spark, sf_dir)
+    rows = commits.stored(_coded(spark, sf_dir), "coded")
     out = metrics.majority_backoff(rows.where("split = 'train'"), rows, ["c1", "c2"], "event_type", 20)
     return out.groupBy("split", "depth", "prediction").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("event_type") == F.col("prediction")).alias("hits"))
 
 
 @query(_MAJ + ", e AS (SELECT * FROM p WHERE split <> 'train'), h AS (SELECT event_type AS c, count(*) AS have, count(*) FILTER (WHERE event_type = prediction) AS tp FROM e GROUP BY 1), s AS (SELECT prediction AS c, count(*) AS said FROM e GROUP BY 1) SELECT round(sum(tp) / sum(have), 6) AS accuracy, round(avg(tp / have), 6) AS balanced_accuracy, round(avg(2 * tp / (have + coalesce(said, 0))), 6) AS macro_f1 FROM h LEFT JOIN s USING (c)")
 def confusion_metrics(spark, sf_dir):
-    rows = _coded(spark, sf_dir)
+    rows = commits.stored(_coded(spark, sf_dir), "coded")
     out = metrics.majority_backoff(rows.where("split = 'train'"), rows.where("split <> 'train'"), ["c1", "c2"], "event_type", 20)
     return metrics.confusion_report(out, "event_type", "prediction").withColumns(_r("accuracy", "balanced_accuracy", "macro_f1"))
 

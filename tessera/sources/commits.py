@@ -37,6 +37,13 @@ def scratch(spark, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def stored(df, name: str):
+    """``df`` written once to a new scratch folder and read again: its lineage ends there, and its size is known to the plans that use it."""
+    spark, path = df.sparkSession, scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def file_name(key: str) -> str:
     """A new name for a file of ``key``, whatever its characters."""
     return f"{hashlib.sha256(key.encode()).hexdigest()[:16]}-{uuid.uuid4().hex}"
