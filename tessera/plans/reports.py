@@ -7,7 +7,7 @@ from itertools import combinations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import gates, manifests, metrics, readouts, sampling
+from ..operators import audits, gates, manifests, metrics, readouts, sampling
 from ..registry import query
 from ..sources import commits
 from ..sources.tables import MANIFEST, TICKS, manifest, table, ticks
@@ -149,16 +149,15 @@ def _prefix_errors(spark, sf_dir):
 @query(_PREFIX + " SELECT event_type, split, arg_min(depth, (mse, depth)) AS depth, min(mse) AS mse FROM d GROUP BY 1, 2")
 def best_prefix(spark, sf_dir):
     """INL-3: the prefix of most reduction, the shortest of equal ones."""
-    return _prefix_errors(spark, sf_dir).groupBy("event_type", "split").agg(F.min_by("depth", F.struct("mse", "depth")).alias("depth"), F.min("mse").alias("mse"))
+    return audits.best_depth(_prefix_errors(spark, sf_dir), ["event_type", "split"])
 
 
 @query(_PREFIX + " SELECT event_type, split, string_agg(depth::VARCHAR || ':' || round(mse, 3)::DECIMAL(18, 3)::VARCHAR, ',' ORDER BY depth) AS by_depth, list(depth ORDER BY depth) = [0, 1, 2] AS complete FROM d GROUP BY 1, 2")
 def prefix_profiles(spark, sf_dir):
     """INL-4, INL-5: rows by depth become one array by depth, which must hold every depth once."""
-    each = F.array_sort(F.collect_list(F.struct("depth", F.round("mse", 3).cast("decimal(18,3)").alias("mse"))))
-    rows = _prefix_errors(spark, sf_dir).groupBy("event_type", "split").agg(each.alias("p"))
-    shown = F.array_join(F.transform("p", lambda x: F.concat_ws(":", x["depth"].cast("string"), x["mse"].cast("string"))), ",")
-    return rows.select("event_type", "split", shown.alias("by_depth"), (F.col("p.depth") == F.array(F.lit(0), F.lit(1), F.lit(2))).alias("complete"))
+    rows = audits.depth_profiles(_prefix_errors(spark, sf_dir).withColumn("mse", F.round("mse", 3).cast("decimal(18,3)")), ["event_type", "split"], (0, 1, 2))
+    shown = F.array_join(F.transform("profile", lambda x: F.concat_ws(":", x["depth"].cast("string"), x["error"].cast("string"))), ",")
+    return rows.select("event_type", "split", shown.alias("by_depth"), "complete")
 
 
 @query("WITH w AS (SELECT l_orderkey // 2 AS window_id, l_orderkey AS ref, l_linenumber AS start, l_linenumber + 3 AS stop, l_returnflag AS role FROM lineitem), e AS (SELECT o_orderkey AS id, o_custkey % 9 + 2 AS steps, o_orderstatus AS split FROM orders), j AS (SELECT *, count(*) OVER (PARTITION BY window_id, start) > 1 AS repeated FROM w LEFT JOIN e ON ref = id) SELECT coalesce(split, '-') AS split, role, count(*) AS windows, count(*) FILTER (WHERE repeated) AS repeated, count(*) FILTER (WHERE id IS NULL) AS unknown, count(*) FILTER (WHERE stop > steps) AS beyond, coalesce(sum(greatest(least(stop, steps) - start, 0)), 0)::BIGINT AS actions FROM j GROUP BY 1, 2")
@@ -166,21 +165,14 @@ def cache_finalize(spark, sf_dir):
     """SNK-10, SNK-11, PRJ-28: windows against their episodes: repeated ids, unknown references, ends beyond the episode, and actions by split and role."""
     w = table(spark, sf_dir, "lineitem").select(F.floor(F.col("l_orderkey") / 2).alias("window_id"), F.col("l_orderkey").alias("ref"), F.col("l_linenumber").alias("start"), (F.col("l_linenumber") + 3).alias("stop"), F.col("l_returnflag").alias("role"))
     e = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_custkey") % 9 + 2).alias("steps"), F.col("o_orderstatus").alias("split"))
-    j = w.withColumn("again", F.count(F.lit(1)).over(Window.partitionBy("window_id", "start")) > 1).join(e, F.col("ref") == F.col("id"), "left")
-    actions = F.greatest(F.least("stop", "steps") - F.col("start"), F.lit(0))
-    return j.groupBy(F.coalesce("split", F.lit("-")).alias("split"), "role").agg(
-        F.count(F.lit(1)).alias("windows"), F.count_if("again").alias("repeated"), F.count_if(F.col("id").isNull()).alias("unknown"), F.count_if(F.col("stop") > F.col("steps")).alias("beyond"),
-        F.coalesce(F.sum(F.when(F.col("id").isNotNull(), actions)), F.lit(0)).cast("long").alias("actions"),
-    )
+    return audits.windows_against_episodes(w, e, ["window_id", "start"], "ref", "start", "stop", "role", "id", "steps", "split")
 
 
 @query("SELECT p_brand AS run, count(DISTINCT p_size % 2) AS pools, count(DISTINCT p_type) = count(*) AS distinct_types, min(p_retailprice) = max(p_retailprice) AS one_price, count(DISTINCT p_name) AS names, count(*) AS n FROM part GROUP BY 1")
 def run_identity(spark, sf_dir):
     """JON-18, JON-24, SUP-07, INL-9: what all artifacts of a run must share, and what must differ."""
-    one = F.min("p_retailprice") == F.max("p_retailprice")
-    return table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("run")).agg(
-        F.count_distinct(F.col("p_size") % 2).alias("pools"), (F.count_distinct("p_type") == F.count(F.lit(1))).alias("distinct_types"), one.alias("one_price"), F.count_distinct("p_name").alias("names"), _rows()
-    )
+    counted = {"pools": F.col("p_size") % 2, "names": F.col("p_name")}
+    return audits.run_consistency(table(spark, sf_dir, "part"), "p_brand", counted, {"distinct_types": F.col("p_type")}, {"one_price": F.col("p_retailprice")})
 
 
 @query("WITH c AS (SELECT c_custkey AS k, c_nationkey AS n, round(c_acctbal, 2) AS v FROM customer), s AS (SELECT s_suppkey AS k, s_nationkey AS n, round(s_acctbal, 2) AS v FROM supplier) SELECT (SELECT count(*) FROM (SELECT * FROM c EXCEPT ALL SELECT * FROM s)) AS only_left, (SELECT count(*) FROM (SELECT * FROM s EXCEPT ALL SELECT * FROM c)) AS only_right, (SELECT count(*) FROM (SELECT * FROM c EXCEPT ALL SELECT * FROM c)) AS with_itself")
@@ -188,8 +180,8 @@ def tables_equal(spark, sf_dir):
     """SUP-12, SUP-22, SNK-19: two tables are equal if neither has a row more; repeated rows count, nulls are equal."""
     c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.col("c_nationkey").alias("n"), F.round("c_acctbal", 2).alias("v"))
     s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_nationkey").alias("n"), F.round("s_acctbal", 2).alias("v"))
-    signed = c.withColumn("d", F.lit(1)).unionAll(s.withColumn("d", F.lit(-1))).groupBy("k", "n", "v").agg(F.sum("d").alias("d"))
-    return signed.agg(F.coalesce(F.sum(F.greatest("d", F.lit(0))), F.lit(0)).alias("only_left"), F.coalesce(F.sum(F.greatest(-F.col("d"), F.lit(0))), F.lit(0)).alias("only_right"), F.lit(0).cast("long").alias("with_itself"))
+    with_itself = audits.row_differences(c, c).select(F.col("only_left").alias("with_itself"))
+    return audits.row_differences(c, s).crossJoin(F.broadcast(with_itself))  # one row each
 
 
 @query(f"WITH {_SPLIT_TICKS}, p AS (SELECT event_type, avg(value) AS m FROM s WHERE split = 'train' GROUP BY 1) SELECT event_type, split, count(*) AS n, round(avg((value - m) * (value - m)), 6) AS mean_square FROM s JOIN p USING (event_type) GROUP BY 1, 2")
@@ -260,19 +252,16 @@ def selected_features(spark, sf_dir):
 def clip_resolution(spark, sf_dir):
     """JON-08: clips looked up in the manifest and among shards; what is missing at each hop."""
     c = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("ref"), F.col("l_suppkey").alias("shard"))
-    m, s = manifest(spark, sf_dir), table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
-    j = c.join(m, F.col("ref") == F.col("episode_id"), "left").join(s, F.col("shard") == F.col("s_suppkey"), "left")
-    return j.groupBy(F.coalesce("institution_id", F.lit("-")).alias("institution")).agg(
-        F.count(F.lit(1)).alias("clips"), F.count_if(F.col("episode_id").isNull()).alias("no_episode"), F.count_if(F.col("s_nationkey").isNull()).alias("no_shard"), F.count_distinct("scene_id").alias("scenes")
-    )
+    hops = {"no_episode": (manifest(spark, sf_dir), "ref", "episode_id"), "no_shard": (table(spark, sf_dir, "supplier").select("s_suppkey"), "shard", "s_suppkey")}
+    return audits.lookup_losses(c, hops, F.coalesce("institution_id", F.lit("-")).alias("institution"), {"scenes": "scene_id"}, "clips")
 
 
 @query(f"WITH {MANIFEST}, q AS (SELECT l_orderkey AS e, sum(l_quantity) AS motion, count(*) AS steps FROM lineitem GROUP BY 1) SELECT institution_id, count(*) AS records, count(motion) AS measured, round(avg(motion / steps), 6) AS motion FROM manifest LEFT JOIN q ON e = episode_id GROUP BY 1")
 def motion_audit(spark, sf_dir):
     """JON-21: measurements of episodes beside their records; records without any show as a difference of counts."""
-    q = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("e")).agg(F.sum("l_quantity").alias("motion"), F.count(F.lit(1)).alias("steps"))
-    j = manifest(spark, sf_dir).join(q, F.col("e") == F.col("episode_id"), "left")
-    return j.groupBy("institution_id").agg(F.count(F.lit(1)).alias("records"), F.count("motion").alias("measured"), F.round(F.avg(F.col("motion") / F.col("steps")), 6).alias("motion"))
+    q = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("episode_id")).agg(F.sum("l_quantity").alias("motion"), F.count(F.lit(1)).alias("steps"))
+    found = audits.measured_records(manifest(spark, sf_dir), q, "episode_id", "institution_id", F.col("motion") / F.col("steps"))
+    return found.select("institution_id", "records", "measured", F.round("mean", 6).alias("motion"))
 
 
 @query("WITH m AS (SELECT event_type AS family, CASE user_id % 4 WHEN 0 THEN 'left' WHEN 1 THEN 'right' WHEN 2 THEN 'natural' ELSE 'blur' END AS condition, event_id // 4 AS clip, value FROM events), g AS (SELECT family, condition, count(*) AS n, avg(value) AS v FROM m GROUP BY 1, 2), o AS (SELECT a.family, avg(CASE WHEN round(a.value, 0) <> round(b.value, 0) THEN 1.0 ELSE 0.0 END) AS opposite FROM m a JOIN m b ON a.family = b.family AND a.clip = b.clip AND a.condition = 'left' AND b.condition = 'right' GROUP BY 1) SELECT g.family, g.condition, g.n, round(g.v, 6) AS mean, round(g.v / x.v, 6) AS to_natural, round(opposite, 6) AS opposite FROM g LEFT JOIN g x ON x.family = g.family AND x.condition = 'natural' LEFT JOIN o ON o.family = g.family")
@@ -281,29 +270,23 @@ def perturbation_summary(spark, sf_dir):
     k = F.col("user_id") % 4
     condition = F.when(k == 0, "left").when(k == 1, "right").when(k == 2, "natural").otherwise("blur")
     m = table(spark, sf_dir, "events").select(F.col("event_type").alias("family"), condition.alias("condition"), F.floor(F.col("event_id") / 4).alias("clip"), "value")
-    g = m.groupBy("family", "condition").agg(_rows(), F.avg("value").alias("v"))
-    natural = g.where("condition = 'natural'").select("family", F.col("v").alias("natural"))
-    side = lambda c: m.where(F.col("condition") == c).select("family", "clip", F.round("value", 0).alias(c))
-    o = side("left").join(side("right"), ["family", "clip"]).groupBy("family").agg(F.avg((F.col("left") != F.col("right")).cast("double")).alias("opposite"))
-    return g.join(natural, "family", "left").join(o, "family", "left").select("family", "condition", "n", F.round("v", 6).alias("mean"), F.round(F.col("v") / F.col("natural"), 6).alias("to_natural"), F.round("opposite", 6).alias("opposite"))
+    found = audits.condition_summary(m, "family", "condition", "clip", "value", "natural", ("left", "right"), F.round("value", 0))
+    return found.withColumns({c: F.round(c, 6) for c in ("mean", "to_natural", "opposite")})
 
 
 @query(f"WITH {TICKS}, l AS (SELECT event_type, tick % 6 AS code, value, lag(value) OVER (PARTITION BY user_id ORDER BY tick) AS before FROM ticks) SELECT code, count(*) AS n, round(avg(CASE WHEN abs(value - before) > 10 THEN 1.0 ELSE 0.0 END), 6) AS changed, round(sum(value), 3) AS total, round(avg(abs(value - before)), 6) AS step FROM l WHERE before IS NOT NULL GROUP BY 1")
 def change_by_code(spark, sf_dir):
     """INL-10, AGG-17: how often and how far values change, by true code."""
-    order = Window.partitionBy("user_id").orderBy("tick")
-    rows = ticks(spark, sf_dir).select((F.col("tick") % 6).alias("code"), "value", F.lag("value").over(order).alias("before")).where("before IS NOT NULL")
-    step = F.abs(F.col("value") - F.col("before"))
-    return rows.groupBy("code").agg(_rows(), F.round(F.avg((step > 10).cast("double")), 6).alias("changed"), F.round(F.sum("value"), 3).alias("total"), F.round(F.avg(step), 6).alias("step"))
+    rows = audits.change_by_code(ticks(spark, sf_dir).withColumn("code", F.col("tick") % 6), "user_id", "tick", "code", "value", 10)
+    return rows.select("code", "n", F.round("changed", 6).alias("changed"), F.round("total", 3).alias("total"), F.round("step", 6).alias("step"))
 
 
 @query("WITH w AS (SELECT l_orderkey AS parent, count(*) AS windows FROM lineitem GROUP BY 1), t AS (SELECT o_orderkey AS parent, length(o_orderpriority) AS tokens FROM orders WHERE o_orderpriority <> '3-MEDIUM') SELECT count(*) AS parents, count(tokens) AS covered, count(*) - count(tokens) AS missing, sum(CASE WHEN tokens IS NOT NULL THEN windows * tokens ELSE 0 END)::BIGINT AS tokens FROM w LEFT JOIN t USING (parent)")
 def language_coverage(spark, sf_dir):
     """JON-16: windows joined to the text of their parent, which must be there for all."""
-    w = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("parent")).agg(F.count(F.lit(1)).alias("windows"))
-    t = table(spark, sf_dir, "orders").where("o_orderpriority <> '3-MEDIUM'").select(F.col("o_orderkey").alias("parent"), F.length("o_orderpriority").alias("tokens"))
-    j = w.join(t, "parent", "left")
-    return j.agg(F.count(F.lit(1)).alias("parents"), F.count("tokens").alias("covered"), F.count_if(F.col("tokens").isNull()).alias("missing"), F.coalesce(F.sum(F.col("windows") * F.col("tokens")), F.lit(0)).alias("tokens"))
+    w = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("parent"))
+    t = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("parent"), F.when(F.col("o_orderpriority") != "3-MEDIUM", F.length("o_orderpriority")).alias("tokens"))
+    return audits.text_coverage(w, t, "parent", "tokens")
 
 
 _HEALTH = {"used": ("used", 0.9, None, True), "perplexity": ("perplexity", 1.5, None, True), "most": ("most", None, 0.6, False), "median_most": ("median_most", None, 0.5, False)}
