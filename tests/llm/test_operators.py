@@ -718,3 +718,37 @@ def test_toxicity_on_held_out_rows(spark, odd, empty):
     assert len(got) == len(ODD) and all(0 <= r["score"] <= 1 for r in got)
     assert toxicity.score(empty, model).collect() == []
     assert {r["score"] for r in toxicity.score(odd, toxicity.Model([])).collect()} == {0.0}
+
+
+def test_toxicity_gains_and_scores_are_those_of_plain_compressions():
+    """Lengths by compressors made anew for each window, and the score worked out from them."""
+    import math
+
+    import zstandard as z
+
+    rng = np.random.default_rng(5)
+    calm, rude = "river window carpet lantern meadow pebble".split(), "idiot moron clown".split()
+    texts = [" ".join([*rng.choice(calm, 30), *(rng.choice(rude, 3) if k % 2 else [])]) for k in range(60)]
+    model = toxicity.Model([(t, k % 2) for k, t in enumerate(texts)])
+
+    def length(content: bytes, data: bytes) -> int:
+        how = z.ZstdCompressionParameters(
+            format=z.FORMAT_ZSTD1_MAGICLESS, window_log=20, hash_log=17, chain_log=18, search_log=7, min_match=4, target_length=64, strategy=z.STRATEGY_BTOPT, write_content_size=False, write_checksum=False, write_dict_id=False,
+        )
+        return len(z.ZstdCompressor(dict_data=z.ZstdCompressionDict(content, dict_type=z.DICT_TYPE_RAWCONTENT), compression_params=how).compress(data))
+
+    def plain_score(text: str) -> float:
+        filler, found = toxicity._filler, []
+        for word in re.findall(r"\w{1,64}", text.lower()):
+            data = b"".join(toxicity._codes[b].tobytes() for b in f" {word} ".encode()) + filler
+            ordinary = length(model.ordinary, data)
+            saved = max(0, ordinary - length(model.toxic, data))
+            found.append((min(20, 20 * saved // max(1, ordinary - length(model.ordinary, filler))), min(15, saved)))
+        n = max(1, len(found))
+        steps = [sum(share >= s for share, _ in found) for s in toxicity._SHARES] + [sum(saved >= s for _, saved in found) for s in toxicity._BYTES]
+        row = [1, math.log(n), *(math.log1p(s) for s in steps), *(math.log((s + 0.3) / (n + 30)) for s in steps)]
+        return 1 / (1 + math.exp(-sum((x - m) / d * w for x, m, d, w in zip(row, model.mean, model.scale, model.weights, strict=True))))
+
+    asked = [*texts[:6], "", "an idiot by the river", "x" * 200, "été naïve"]
+    assert np.allclose(model.scores(asked), [plain_score(t) for t in asked])
+    assert min(model.scores(texts[1::2])) > max(model.scores(texts[::2]))
