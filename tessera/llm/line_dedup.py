@@ -4,9 +4,10 @@ Lines are known by a 128-bit hash of their key (stripped, ASCII letters in lower
 the hashes found in enough of them are dealt over shards, and each shard becomes one file: a minimal perfect hash (levels of bits, in which a
 key rests where it is alone) that numbers the shard's hashes without holes, and arrays by that number: a 64-bit fingerprint, the count of documents and
 the last document.  Documents are then read once more; a task looks its lines up in the arrays and shuffles nothing.
-A hash that isn't in the index gets the number of another or none, and fails the fingerprint.  A text is
-read in blocks of documents and a worker holds only a few shards, so memory is bounded; a task reads every shard that its lines
-need once a block of ``block_bytes``, so the cost of reading grows with blocks x the index.
+A hash that isn't in the index gets the number of another or none, and fails the fingerprint.  Documents are
+read in blocks and a worker holds only a few shards, so memory is bounded.  A task reads every shard that its lines
+need once a block, which costs blocks x the index; an index of over ``probe_bytes`` is probed the other way about: hashes of lines are dealt by shard,
+each task looks up those of a few shards in turn, and the numbers of lines to drop go back to their documents.  Both ways probe the same arrays.
 
 Defined results: a null or empty text is one empty line; rows are documents, each counted once a line however often it holds it; if the last
 ``doc_id`` comes in several rows, they all keep the line; null ids count as lower than any id; a text of any length is
@@ -177,8 +178,8 @@ def _save(url: str, data: bytes) -> None:
     system.move(own, path)
 
 
-def build_index(counts: DataFrame, folder: str, shard_keys: int = 250_000) -> int:
-    """Write the shards of line hashes (high, low, n, last) and return their number; a shard holds about ``shard_keys``."""
+def build_index(counts: DataFrame, folder: str, shard_keys: int = 250_000) -> tuple[int, int]:
+    """Write the shards of line hashes (high, low, n, last); their number and bytes.  A shard holds about ``shard_keys``."""
     counts = written(counts, "lines")
     shards = -(-counts.count() // shard_keys) or 1
     system, path = file_system(folder)
@@ -193,13 +194,14 @@ def build_index(counts: DataFrame, folder: str, shard_keys: int = 250_000) -> in
         k, last = table.column("shard")[0].as_py(), table.column("last")
         shard = Shard.build(of("high").view("<u8"), of("low").view("<u8"), of("n"), last.fill_null(0).to_numpy(), last.is_null().to_numpy())
         _save(f"{folder}/shard-{k}.npz", shard.save())
-        return pa.table({"shard": pa.array([k], pa.int64()), "keys": pa.array([len(shard.hashed)], pa.int64())})
+        return pa.table({"shard": pa.array([k], pa.int64()), "keys": pa.array([len(shard.hashed)], pa.int64()), "bytes": pa.array([shard.bytes], pa.int64())})
 
     dealt = counts.withColumn("shard", F.pmod("low", F.lit(shards)))
-    done = dealt.groupBy("shard").applyInArrow(build, "shard long, keys long")
-    if (n := done.agg(F.sum("keys")).first()[0] or 0) != (m := counts.count()):
+    done = dealt.groupBy("shard").applyInArrow(build, "shard long, keys long, bytes long")
+    n, size = done.agg(F.coalesce(F.sum("keys"), F.lit(0)), F.coalesce(F.sum("bytes"), F.lit(0))).first()  # two numbers
+    if n != (m := counts.count()):
         raise ValueError(f"the index has {n} of {m} line hashes")
-    return shards
+    return shards, size
 
 
 class IndexReader:
@@ -243,32 +245,27 @@ class IndexReader:
         return out
 
 
-def dedup_lines(
-    docs: DataFrame, least_docs: int = 3, least_chars: int = 20, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None, block_bytes: int = 16 << 20,
-) -> DataFrame:
-    """doc_id, text (its kept lines), n_lines (before) and n_dropped of each document.
+_OUT = "doc_id long, text string, n_lines long, n_dropped long"
+#: A shard's lines are dealt over so many tasks, as one line may be in a third of all documents.
+_SALTS = 16
 
-    A line whose key has at least ``least_chars`` code points and is found in at least ``least_docs`` documents stays only in the largest
-    ``doc_id`` that holds it.
-    """
-    folder = folder or shared_dir(docs.sparkSession, "line-index")
-    counts = line_counts(docs, id_col, text_col, least_chars)
-    shards = build_index(counts.where(F.col("n") >= least_docs), folder)
 
-    def probe(batches):
-        import pyarrow as pa
+def _kept(rows: list[tuple[int | None, list[bytes], list[bytes]]]):
+    """A batch of (doc_id, lines, kept lines)."""
+    import pyarrow as pa
+
+    columns = zip(*((doc_id, b"\n".join(kept), len(lines), len(lines) - len(kept)) for doc_id, lines, kept in rows), strict=True)
+    ids, texts, n, gone = columns
+    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.binary()).cast(pa.string()), pa.array(n, pa.int64()), pa.array(gone, pa.int64())], names=["doc_id", "text", "n_lines", "n_dropped"])
+
 
+def _probed_in_place(rows: DataFrame, folder: str, shards: int, least_chars: int, block_bytes: int) -> DataFrame:
+    def probe(batches):
         reader = IndexReader(folder, shards)
-        schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("n_lines", pa.int64()), ("n_dropped", pa.int64())])
 
-        def done(block: list[tuple[int | None, list[bytes], list[bytes | None]]]) -> pa.RecordBatch:
+        def done(block: list[tuple[int | None, list[bytes], list[bytes | None]]]):
             found = reader.look_up(list({h for _, _, hashes in block for h in hashes if h is not None}))
-            rows = []
-            for doc_id, lines, hashes in block:
-                kept = [line for line, h in zip(lines, hashes, strict=True) if h not in found or found[h][1] == doc_id]
-                rows.append((doc_id, b"\n".join(kept), len(lines), len(lines) - len(kept)))
-            ids, texts, n, gone = zip(*rows, strict=True)
-            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.binary()).cast(pa.string()), pa.array(n, pa.int64()), pa.array(gone, pa.int64())], schema=schema)
+            return _kept([(doc_id, lines, [x for x, h in zip(lines, hashes, strict=True) if h not in found or found[h][1] == doc_id]) for doc_id, lines, hashes in block])
 
         block: list[tuple[int | None, list[bytes], list[bytes | None]]] = []
         size = 0
@@ -283,8 +280,68 @@ def dedup_lines(
         if block:
             yield done(block)
 
+    return rows.mapInArrow(probe, _OUT)
+
+
+def _probed_by_shard(rows: DataFrame, folder: str, shards: int, least_chars: int) -> DataFrame:
+    keys = ["doc_id", "text_hash", "text_hash2"]  # equal rows drop equal lines, so they may share a key
+    rows = rows.withColumns({"text_hash": F.xxhash64("text"), "text_hash2": F.xxhash64("text", F.lit(1))})
+
+    def hashes(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            at, place, found = [], [], []
+            for k, text in enumerate(batch.column(1)):
+                own = [(n, h) for n, h in enumerate(keys_of(text.as_py(), least_chars)[1]) if h is not None]
+                at += [k] * len(own)
+                place += [n for n, _ in own]
+                found += [h for _, h in own]
+            high, low = halves(found)
+            taken = [batch.column(c).take(pa.array(at, pa.int64())) for c in (0, 2, 3)]
+            yield pa.RecordBatch.from_arrays([*taken, pa.array(place, pa.int32()), pa.array(high.view("<i8")), pa.array(low.view("<i8"))], names=[*keys, "line", "high", "low"])
+
+    def look_up(batches):
+        import pyarrow as pa
+
+        reader = IndexReader(folder, shards)
+        for batch in batches:
+            names = [b"".join(x) for x in zip(*([v[k : k + 8] for k in range(0, len(v), 8)] for v in (batch.column(c).to_numpy().tobytes() for c in (4, 5))), strict=True)]
+            found = reader.look_up(list(set(names)))
+            gone = [k for k, (doc_id, h) in enumerate(zip(batch.column(0).to_pylist(), names, strict=True)) if h in found and found[h][1] != doc_id]
+            yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(gone, pa.int64())) for c in range(4)], names=[*keys, "line"])
+
+    def cut(batches):
+        for batch in batches:
+            out = []
+            for doc_id, text, gone in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                lines, drop = (text or "").encode("utf-8", "surrogatepass").split(b"\n"), set(gone or ())
+                out.append((doc_id, lines, [x for k, x in enumerate(lines) if k not in drop]))
+            if out:
+                yield _kept(out)
+
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    lines = rows.mapInArrow(hashes, "doc_id long, text_hash long, text_hash2 long, line int, high long, low long")
+    dealt = lines.withColumns({"shard": F.pmod("low", F.lit(shards)), "salt": F.pmod(F.xxhash64(*keys), F.lit(_SALTS))}).repartition(parts, "shard", "salt").sortWithinPartitions("shard")
+    gone = dealt.select(*keys, "line", "high", "low").mapInArrow(look_up, "doc_id long, text_hash long, text_hash2 long, line int").groupBy(*keys).agg(F.collect_set("line").alias("gone"))  # a document's lines
+    a, b = rows.alias("a"), gone.alias("b")
+    same = F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & F.col("a.text_hash").eqNullSafe(F.col("b.text_hash")) & F.col("a.text_hash2").eqNullSafe(F.col("b.text_hash2"))
+    return a.join(b, same, "left").select("a.doc_id", "a.text", "b.gone").mapInArrow(cut, _OUT)
+
+
+def dedup_lines(
+    docs: DataFrame, least_docs: int = 3, least_chars: int = 20, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None, block_bytes: int = 16 << 20, probe_bytes: int = 256 << 20,
+) -> DataFrame:
+    """doc_id, text (its kept lines), n_lines (before) and n_dropped of each document.
+
+    A line whose key has at least ``least_chars`` code points and is found in at least ``least_docs`` documents stays only in the largest
+    ``doc_id`` that holds it.
+    """
+    folder = folder or shared_dir(docs.sparkSession, "line-index")
+    counts = line_counts(docs, id_col, text_col, least_chars)
+    shards, size = build_index(counts.where(F.col("n") >= least_docs), folder)
     rows = docs.select(F.col(quoted(id_col)).cast("long").alias("doc_id"), F.col(quoted(text_col)).cast("string").alias("text"))
-    return rows.mapInArrow(probe, "doc_id long, text string, n_lines long, n_dropped long")
+    return _probed_in_place(rows, folder, shards, least_chars, block_bytes) if size <= probe_bytes else _probed_by_shard(rows, folder, shards, least_chars)
 
 
 def digests_sql() -> str:

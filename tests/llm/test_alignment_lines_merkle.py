@@ -120,11 +120,13 @@ def test_line_dedup_equals_a_plain_version(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n", F.lit(1)).withColumn("low", F.lit("x")).repartition(4)
     found = line_dedup.dedup_lines(docs, block_bytes=1 << 16)
     assert ordered(found.collect()) == ordered(plain_lines(rows))
+    dealt = line_dedup.dedup_lines(docs, probe_bytes=0)  # as for an index that is too large to read for each block
+    assert dealt.columns == found.columns and ordered(dealt.collect()) == ordered(plain_lines(rows))
 
 
 def test_line_dedup_of_an_empty_table_and_without_shared_lines(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
-    assert line_dedup.dedup_lines(docs).collect() == []
+    assert line_dedup.dedup_lines(docs).collect() == [] and line_dedup.dedup_lines(docs, probe_bytes=-1).collect() == []
     docs = spark.createDataFrame([(1, "a line that nobody else has\nb")], "doc_id long, text string")
     assert [tuple(r) for r in line_dedup.dedup_lines(docs).collect()] == [(1, "a line that nobody else has\nb", 2, 0)]
 
@@ -146,11 +148,11 @@ def test_shards_number_their_keys_and_refuse_strangers(tmp_path):
 def test_index_is_written_in_several_shards_and_read_within_bounds(spark, tmp_path):
     counts = spark.range(1000).select(F.xxhash64("id").alias("high"), F.xxhash64("id", F.lit(1)).alias("low"), F.lit(4).cast("long").alias("n"), F.when(F.col("id") > 0, F.col("id")).alias("last"))
     folder = f"file://{tmp_path}/index"
-    shards = line_dedup.build_index(counts, folder, shard_keys=90)
+    shards, size = line_dedup.build_index(counts, folder, shard_keys=90)
     reader = line_dedup.IndexReader(folder, shards, most_bytes=5000)
     keys = [np.array([r.high, r.low], "<i8").tobytes() for r in counts.orderBy("last").collect()]
     found = reader.look_up(keys + [b"0" * 16])
-    assert shards == 12 and [found[k] for k in keys] == [(4, None), *((4, k) for k in range(1, 1000))] and len(found) == 1000
+    assert shards == 12 and size > 20_000 and [found[k] for k in keys] == [(4, None), *((4, k) for k in range(1, 1000))] and len(found) == 1000
     assert reader.size <= 5000 or len(reader.held) == 1
 
 
