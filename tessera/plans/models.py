@@ -8,7 +8,7 @@ from ..functions.scalar import decode_angles, decode_mixed, direction, encode_an
 from ..operators import clustering, gates, metrics, readouts, sampling
 from ..registry import query
 from ..sources.tables import TICKS, table, ticks
-from .series import SPLIT_SQL, _coded
+from .series import _CODED, SPLIT_SQL, _coded
 
 
 def _whole_vectors(spark, sf_dir):
@@ -124,11 +124,17 @@ def additive_ridge(spark, sf_dir):
     return out.groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("target") - F.col("prediction")) ** 2).alias("mse"), F.avg(F.col("all_seen").cast("double")).alias("seen"))
 
 
-@query()
+@query(
+    f"WITH {_CODED}, t AS (SELECT value AS a, tick::DOUBLE AS b, target AS y FROM coded WHERE split = 'train'), "
+    "m AS (SELECT count(*) AS n, avg(a) AS ma, avg(b) AS mb, avg(y) AS my, avg(a * a) - avg(a) * avg(a) AS aa, avg(b * b) - avg(b) * avg(b) AS bb, avg(a * b) - avg(a) * avg(b) AS ab, avg(a * y) - avg(a) * avg(y) AS ay, avg(b * y) - avg(b) * avg(y) AS bb_y FROM t), "
+    "u AS (SELECT *, 1 + 1.0::DOUBLE / n AS d, ab / sqrt(aa * bb) AS r, ay / sqrt(aa) AS ca, bb_y / sqrt(bb) AS cb FROM m), w AS (SELECT *, (d * ca - r * cb) / (d * d - r * r) / sqrt(aa) AS wa, (d * cb - r * ca) / (d * d - r * r) / sqrt(bb) AS wb FROM u) "
+    "SELECT round(my - ma * wa - mb * wb, 5) AS intercept, round(wa, 6) + 0.0 AS value, round(wb, 6) + 0.0 AS tick FROM w"
+)
 def continuous_ridge(spark, sf_dir):
+    """AGG-15, REG-06: a ridge on two standardised columns, which SQL solves by Cramer's rule."""
     rows = _coded(spark, sf_dir).withColumn("t", F.col("tick").cast("double"))
     w = readouts.continuous_ridge(rows.where("split = 'train'"), ["value", "t"], "target", 1.0)
-    return spark.createDataFrame([tuple(map(float, w))], "intercept double, value double, tick double")
+    return spark.createDataFrame([(round(float(w[0]), 5), round(float(w[1]), 6) + 0.0, round(float(w[2]), 6) + 0.0)], "intercept double, value double, tick double")
 
 
 _DELTA = f"WITH {TICKS}, d AS (SELECT user_id, round(avg(CASE WHEN tick % 2 = 0 THEN value END) - avg(CASE WHEN tick % 2 = 1 THEN value END), 6) AS d FROM ticks GROUP BY 1 HAVING count(*) >= 2)"
