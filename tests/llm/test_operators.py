@@ -689,6 +689,80 @@ def test_furniture_goes_by_the_last_part_of_its_name():
         assert text(f"<article><p>Body.</p><div class='{name}'><p>more</p></div></article>") == "Body. more", name
 
 
+def plain_article(html):
+    """The text of the article by the standard library's parser: blocks joined by a space, what the contract excludes left out."""
+    from html.parser import HTMLParser
+
+    out = tuple("nav header footer aside form script style button".split())
+    inline = set("a b i em strong span code".split())
+
+    class Reader(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.depth, self.away, self.blocks, self.run = 0, [], [], []
+
+        def close_block(self):
+            if text := " ".join("".join(self.run).split()):
+                self.blocks.append(text)
+            self.run = []
+
+        def handle_starttag(self, tag, attrs):
+            if tag not in inline:
+                self.close_block()
+            names = " ".join(v or "" for k, v in attrs if k in ("class", "id"))
+            if tag == "br":
+                return
+            if self.away or tag in out or names in ("ad", "comments", "user-comments", "cookie-banner"):
+                self.away.append(tag)
+            elif tag == "article":
+                self.depth += 1
+
+        def handle_endtag(self, tag):
+            if tag not in inline:
+                self.close_block()
+            if self.away:
+                self.away.pop()
+            elif tag == "article":
+                self.depth -= 1
+
+        def handle_data(self, data):
+            if self.depth and not self.away:
+                self.run.append(data)
+
+    reader = Reader()
+    reader.feed(html)
+    reader.close_block()
+    return " ".join(reader.blocks)
+
+
+def test_extraction_equals_a_plain_one_on_made_up_sites(spark):
+    rng = random.Random(7)
+    words = "alpha beta &amp; gamma &eacute;t&eacute; delta &lt;tag&gt; na&iuml;ve epsilon zeta &#8364;5 it&#39;s".split()
+
+    def text(n):
+        return " ".join(rng.choice(words) for _ in range(n))
+
+    def inline(n):
+        return "".join(rng.choice((text(3), f"<b>{text(2)}</b>", f"<a href='/x'>{text(1)}</a>", f" <em>{text(1)}</em> ", "<br>", "\n  ")) + " " for _ in range(n))
+
+    def block():
+        return rng.choice((
+            lambda: f"<p>{inline(6)}</p>", lambda: f"<h2>{text(4)}</h2>", lambda: f"<ul><li>{inline(2)}</li><li>{text(5)}</li></ul>", lambda: f"<div class='part'><p>{inline(4)}</p>{text(6)}</div>", lambda: f"<blockquote>{inline(3)}</blockquote>",
+            lambda: f"<div class='ad'>{text(5)}</div>", lambda: f"<div class='user-comments'><p>{text(5)}</p></div>", lambda: f"<aside>{text(4)}</aside>", lambda: "<script>var t = '</p>' + 1 < 2;</script>", lambda: f"<!-- {text(3)} -->", lambda: f"<form><button>{text(1)}</button></form>",
+        ))()
+
+    pages = []
+    for k in range(160):
+        host = f"h{k % 3}"
+        body = "".join(block() for _ in range(rng.randint(6, 14)))
+        menu = f"<nav><ul><li><a href='/'>{host} home</a></li><li>news</li></ul></nav><div class='cookie-banner'>{host} uses cookies</div>"
+        pages.append((k, f"https://{host}.example/p{k}", f"<!DOCTYPE html><html><head><title>{text(3)}</title><style>p{{margin:0}}</style></head><body>{menu}<article><h1>{text(5)} {k}</h1>{body}<p>{text(20)}</p></article><footer>&copy; {host}</footer></body></html>"))
+    got = {r["page_id"]: (r["text"], r["n_chars"]) for r in html_text.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    for k, _, html in pages:
+        want = plain_article(html)
+        assert got[k] == (want, len(want)), k
+
+
 def test_the_larger_text_is_the_main_one():
     text = html_text.main_text
     assert text("<body><div class='top'><article><p>teaser</p></article></div><div id=content><p>long real article text</p></div></body>") == "teaser long real article text"
