@@ -2,7 +2,8 @@
 
 Each round counts a group's values in equal bins between two bounds, finds the bin that holds the wanted rank, and takes the least and
 greatest value in it as the next bounds, until they are equal.  Tasks sum up bins before anything is shuffled, so a group, however large, costs a task a row a bin.
-Bounds move with the data, so a round narrows at least to fewer distinct values, and mostly by the number of bins.
+Bounds move with the data, so a round narrows at least to fewer distinct values, and mostly by the number of bins.  Every other round has
+bins of equal ratio instead of equal width, so values over hundreds of powers of ten take few rounds too.
 """
 
 from __future__ import annotations
@@ -28,13 +29,21 @@ def _ranks(n: Column, p: float, kind: str) -> dict[str, Column]:
     return {"low": F.floor(at).cast("long")} | ({"high": F.ceil(at).cast("long")} if kind == "linear" else {})
 
 
-def _bin(value: Column, low: Column, high: Column) -> Column:
+def _magnitude(x: Column) -> Column:
+    """Rises with the value, by as much for each factor: all doubles lie within 1500 of 0."""
+    log = F.log(F.when(x == 0, 1.0).otherwise(F.abs(x))) + 750
+    return F.when(x == 0, 0.0).when(x > 0, log).otherwise(-log)
+
+
+def _bin(value: Column, low: Column, high: Column, by_magnitude: bool) -> Column:
     """A bin from 0 that never falls as the value rises, the first for ``low`` and a later one for ``high``."""
     v, a, b = (c.cast("double") for c in (value, low, high))
     infinite = (a == float("-inf")) | (b == float("inf"))
     outer = F.when(v == float("-inf"), 0).when(v == float("inf"), 2).otherwise(1)
     # halves where a difference of doubles overflows
     share = F.when(b - a == float("inf"), F.try_divide(v / 2 - a / 2, b / 2 - a / 2)).otherwise(F.try_divide(v - a, b - a))
+    if by_magnitude:
+        share = F.coalesce(F.try_divide(_magnitude(v) - _magnitude(a), _magnitude(b) - _magnitude(a)), share)
     inner = F.floor(share * BINS).cast("int")
     close = (value - low).cast("int")  # whole numbers that are one double
     return F.least(F.when(infinite, outer).when(a == b, close).otherwise(F.when(value == high, BINS - 1).otherwise(F.least(inner, F.lit(BINS - 1)))), F.lit(BINS - 1))
@@ -79,7 +88,7 @@ def quantiles(df: DataFrame, by: Sequence[str], column: str, wanted: Mapping[str
         a, b = rows.where("__v IS NOT NULL").alias("a"), (F.broadcast(spans) if left <= _BROADCAST_ROWS else spans).alias("b")
         inside = _same("a", "b", by) & (F.col("a.__v") >= F.col("b.low")) & (F.col("a.__v") <= F.col("b.high"))
         binned = a.join(b, inside).select(*(F.col(f"b.{c}").alias(c) for c in by), F.col("b.low").alias("low"), F.col("b.high").alias("high"), F.col("a.__v").alias("__v"))
-        counts = binned.groupBy(*by, "low", "high", _bin(F.col("__v"), F.col("low"), F.col("high")).alias("bin")).agg(F.count(F.lit(1)).alias("m"), F.min("__v").alias("least"), F.max("__v").alias("most"))
+        counts = binned.groupBy(*by, "low", "high", _bin(F.col("__v"), F.col("low"), F.col("high"), step % 2 == 1).alias("bin")).agg(F.count(F.lit(1)).alias("m"), F.min("__v").alias("least"), F.max("__v").alias("most"))
         order = Window.partitionBy(*by, "low", "high").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)  # a row a bin
         counts = stored(counts.withColumn("before", F.coalesce(F.sum("m").over(order), F.lit(0))), f"bins-{step}")
         x, y = open_.alias("x"), counts.alias("y")

@@ -45,6 +45,9 @@ def test_quantiles_of_doubles(spark):
     rows += [("one", 3.5), ("none", None), ("nan", float("nan")), ("nan", 1.0), (None, 2.0), (None, 4.0), ("same", 7.25), ("same", 7.25), ("tiny", 5e-324), ("tiny", 0.0), ("tiny", -5e-324)]
     rows += [("inf", float("inf")), ("inf", float("-inf")), ("inf", 0.0), ("inf", 1.7e308), ("inf", -1.7e308), ("huge", 1.7e308), ("huge", -1.7e308), ("huge", 1.0)]
     check(spark, [r for r in rows if r[0] != "inf"], "double")
+    rounds: list[int] = []
+    wide = spark.createDataFrame([r for r in rows if r[0] == "wide"], "g string, v double")
+    assert orders.quantiles(wide, ["g"], "v", {"m": (0.5, "floor")}, rounds).first()["m"] == plain([v for g, v in rows if g == "wide"], 0.5, "floor") and len(rounds) <= 6
     got = orders.quantiles(spark.createDataFrame([r for r in rows if r[0] == "inf"], "g string, v double"), ["g"], "v", {f"p{k}": (k / 4, "floor") for k in range(5)}).first()
     assert [got[f"p{k}"] for k in range(5)] == [float("-inf"), -1.7e308, 0.0, 1.7e308, float("inf")]
 
