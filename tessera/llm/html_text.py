@@ -12,7 +12,7 @@
    role drops a page's first ``article`` or ``main`` or what holds it; later ones may be readers' comments.
 
 The article is all outermost ``<article>`` and ``<main>`` elements together, or the whole body if there are none or if what else the body
-has is longer than they are (then they are teasers).  Blocks are
+has is more than twice as long as they are (then they are teasers).  Blocks are
 joined by a space in page order; white space inside a block is one space; references are decoded.
 
 Defined results: null or empty html gives an empty text; a null or unparsable url is a host of its own (empty);
@@ -269,7 +269,7 @@ def main_text(html: str | None, template: set[int] = frozenset()) -> str:
     whole = root.size
     if found := _blocks(tops, template, whole):
         body = _blocks([root], template, whole)
-        return found if 2 * len(found) >= len(body) else body
+        return found if 3 * len(found) >= len(body) else body
     return _blocks([root], template, whole) or template and (_blocks(tops, set(), whole) or _blocks([root], set(), whole)) or ""
 
 
