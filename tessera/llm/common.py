@@ -47,7 +47,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_dir(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discarded(df: DataFrame) -> None:
+    """Delete the files of a table that ``written`` gave, once all that was made from it is written too."""
+    at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.written_to)
+    at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def attach(docs: DataFrame, text: Column, keep: Sequence[str], added: str, run) -> DataFrame:

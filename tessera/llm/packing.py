@@ -26,7 +26,7 @@ import zlib
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, written
+from .common import bounded_batches, discarded, written
 from .tokens import ChunkEncoder
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, seed_doc_id long"
@@ -247,7 +247,9 @@ def pack(
     keys = ["leaf", *(f"h{k}" for k in range(HASHES)), "doc_id"]
     blocks = int(max(corpus.docs / block_docs, corpus.docs * corpus.mean / block_tokens)) + 1
     parts = max(min(blocks, 2 * spark.sparkContext.defaultParallelism), blocks // 4)
-    rows = written(_placed(ids, shared, tree), "packing-order").withColumn("row", F.monotonically_increasing_id())
+    placed = written(_placed(ids, shared, tree), "packing-order")
+    discarded(ids)  # their order has them too
+    rows = placed.withColumn("row", F.monotonically_increasing_id())
     rows = rows.repartitionByRange(parts, *keys, "row").sortWithinPartitions(*keys, "row")
     return _packed(rows.select("doc_id", "ids"), shared, window, block_docs, block_tokens, query_terms)
 
