@@ -66,13 +66,13 @@ class ChunkEncoder:
         return out
 
     def _learn(self, chunks: set[str]) -> None:
-        table, slow = self.table, []
+        table, direct, slow = self.table, self.direct, []
         for chunk in chunks:
             if (ids := self.older.get(chunk)) is not None:
                 table[chunk] = ids
                 continue
             core = chunk.rstrip(".,!?;:")
-            if self.direct and core.isalpha() and max(core) < "\u0100":
+            if direct and core.isalpha() and (core.isascii() or max(core) < "\u0100"):
                 word = core.lower()
                 if (ids := table.get(word)) is None:
                     ids = table[word] = self._word(word)
@@ -91,7 +91,9 @@ class ChunkEncoder:
 
     def _word(self, word: str) -> bytes:
         """Ids of a lower-case Latin word by the model alone, as the steps before it only map its bytes."""
-        return array("I", [x.id for x in self.model.tokenize(word.encode().decode("latin-1").translate(_BYTE_CHARS))]).tobytes()
+        if not word.isascii():  # ASCII letters stand for themselves
+            word = word.encode().decode("latin-1").translate(_BYTE_CHARS)
+        return array("I", [x.id for x in self.model.tokenize(word)]).tobytes()
 
     def _is_direct(self) -> bool:
         """Whether words stay whole, are lower-cased and mapped byte by byte, and punctuation is split off."""
