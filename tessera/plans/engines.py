@@ -94,7 +94,7 @@ _BAD, _GONE = 17, 23
     f"l AS (SELECT report, CASE WHEN report % {_GONE} = 0 THEN -prev ELSE prev END AS input, sha256(prev::VARCHAR || CASE WHEN report % {_BAD} = 0 THEN '?' ELSE '|' END || status) AS claimed FROM o WHERE prev IS NOT NULL), "
     "c AS (SELECT report FROM o WHERE root UNION SELECT l.input FROM c JOIN l USING (report)) "
     "SELECT CASE WHEN h.report IS NULL THEN 'missing' ELSE 'unequal' END AS kind, l.report, l.input FROM l SEMI JOIN c ON l.report = c.report LEFT JOIN o h ON h.report = l.input WHERE h.hash IS DISTINCT FROM l.claimed "
-    "UNION ALL SELECT 'unreachable', report, NULL FROM o WHERE report NOT IN (SELECT report FROM c)"
+    "UNION ALL SELECT 'unreachable', report, 0 FROM o WHERE report NOT IN (SELECT report FROM c)"
 )
 def provenance_audit(spark, sf_dir):
     """JON-25: each order is a report that read the customer's order before it; some claim another hash, some name one that isn't there, and what lies behind these is out of reach."""
@@ -105,4 +105,4 @@ def provenance_audit(spark, sf_dir):
     reports = rows.select(key.alias("report"), digest(key, F.lit("|"), F.col("o_orderstatus")).alias("hash"))
     sign = F.when(key % _BAD == 0, "?").otherwise("|")
     links = rows.where("prev IS NOT NULL").select(key.alias("report"), F.when(key % _GONE == 0, -F.col("prev")).otherwise(F.col("prev")).alias("input"), digest(F.col("prev"), sign, F.col("status")).alias("claimed"))
-    return provenance.audit(reports, links, rows.where("root").select(key.alias("report")))
+    return provenance.audit(reports, links, rows.where("root").select(key.alias("report"))).withColumn("input", F.coalesce("input", F.lit(0)))
