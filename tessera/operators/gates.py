@@ -9,32 +9,37 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import score
 from ..shipping import ensure_importable
+from . import sampling
+
+
+#: Rows of a key and a number that are broadcast (8 MB), else they are joined by shuffle.
+_BROADCAST_ROWS = 500_000
 
 
 def paired_bootstrap(deltas: DataFrame, key: str, delta: str, draws: int, salt: str, by_index: bool = False) -> DataFrame:
     """n, mean, win share and the linear 2.5 and 97.5 % quantiles of means of resampled episodes.
 
-    A draw takes n positions from hashes of (draw, place), so it can be repeated anywhere.  Draws are dealt over
-    tasks; ``deltas`` has a row an episode.  ``by_index`` picks the ends among the sorted means, at draws * 0.025 - 1
+    A draw takes n positions from hashes of (draw, place), so it can be repeated anywhere.  All draws * n of them are dealt over
+    tasks and summed there; ``deltas`` has a row an episode.  ``by_index`` picks the ends among the sorted means, at draws * 0.025 - 1
     and draws * 0.975 from 0, instead of quantiles between them.
     """
-    from pyspark.sql import Window
-
-    rows = deltas.select((F.row_number().over(Window.orderBy(key)) - 1).cast("long").alias("pos"), F.col(delta).alias("d"))
-    n = deltas.count()
     spark = deltas.sparkSession
+    own = sampling.positions(deltas.select(F.col(key).alias("key"), F.col(delta).alias("d")), "key", "pos")
+    n = own.count()
     if not n:
         return spark.createDataFrame([], "n long, mean double, wins double, low double, high double")
-    slots = spark.range(draws).select(F.col("id").alias("draw"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("place"))
-    picks = slots.withColumn("pos", F.pmod(F.conv(F.substring(score(salt, F.col("draw"), F.col("place")), 1, 12), 16, 10).cast("long"), F.lit(n)))
-    means = picks.join(rows, "pos").groupBy("draw").agg(F.avg("d").alias("m"))
+    # a range's size is known to the planner, unlike that of exploded places, which it took for small enough to broadcast
+    slots = spark.range(0, draws * n, 1, max(spark.sparkContext.defaultParallelism, draws * n // 2_000_000)).select(F.expr(f"id DIV {n}").alias("draw"), F.expr(f"id % {n}").alias("place"))
+    picks = slots.select("draw", F.pmod(F.conv(F.substring(score(salt, F.col("draw"), F.col("place")), 1, 12), 16, 10).cast("long"), F.lit(n)).alias("pos"))
+    rows = own.select("pos", "d")
+    means = picks.join(F.broadcast(rows) if n <= _BROADCAST_ROWS else rows.hint("merge"), "pos").groupBy("draw").agg(F.avg("d").alias("m"))
     if by_index:
         at = lambda k: F.element_at(F.sort_array(F.collect_list("m")), k + 1)  # noqa: E731  (a value a draw)
         low, high = at(max(0, int(0.025 * draws) - 1)), at(min(draws - 1, int(0.975 * draws)))
     else:
         low, high = F.percentile("m", F.lit(0.025)), F.percentile("m", F.lit(0.975))
     ends = means.agg(low.alias("low"), high.alias("high"))
-    return deltas.agg(F.count(F.lit(1)).alias("n"), F.avg(delta).alias("mean"), F.avg((F.col(delta) < 0).cast("double")).alias("wins")).join(ends, F.lit(True))  # one row each
+    return own.agg(F.count(F.lit(1)).alias("n"), F.avg("d").alias("mean"), F.avg((F.col("d") < 0).cast("double")).alias("wins")).join(ends, F.lit(True))  # one row each
 
 
 def _node(salt: str, *at: int):

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import score, split_of, unit_interval
 from ..shipping import ensure_importable
+from ..sources import commits
 
 
 def hash_split(df: DataFrame, key: str, salt: str) -> DataFrame:
@@ -96,6 +97,17 @@ def deal_ranks(df: DataFrame, group: str, row: str, ranks: int, salt: str) -> Da
     return kept.withColumn("rank", F.pmod(F.col("pos"), F.lit(ranks))).drop("__own", "before", "total")
 
 
+def positions(df: DataFrame, key: str, name: str) -> DataFrame:
+    """Adds ``name``: each row's place from 0 in order of ``key``, null last.  Tasks order ranges of the key; only the ranges' sizes are summed in one order."""
+    order = F.col(key).asc_nulls_last()
+    dealt = df.repartitionByRange(order).sortWithinPartitions(order)
+    held = commits.stored(dealt.select("*", F.spark_partition_id().alias("__range"), F.monotonically_increasing_id().alias("__row")), "positions")
+    sizes = held.groupBy("__range").agg(F.count(F.lit(1)).alias("__n"), F.min("__row").alias("__first"))
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row a range
+    starts = sizes.select("__range", (before - F.col("__first")).alias("__shift"))
+    return held.join(F.broadcast(starts), "__range").withColumn(name, F.col("__row") + F.col("__shift")).drop("__range", "__row", "__shift")
+
+
 def groups_first(df: DataFrame, group: str, n: int, row: str, salt: str) -> DataFrame:
     """``n`` rows by hash, the first of each group before any second one; rows without group count as their own."""
     own = F.coalesce(F.col(group).cast("string"), F.concat(F.lit("row|"), F.col(row).cast("string")))

@@ -147,6 +147,47 @@ def test_gates(spark):
     assert _values(gates.verdict(rows, ["k"]), "k", "verdict") == [("f", "fail"), ("i", "invalid"), ("p", "pass"), ("u", "inconclusive")]
 
 
+def _broadcast_parts(plan):
+    """The subtree below each broadcast of a plan's text."""
+    lines = plan.splitlines()
+    depth = [len(x) - len(x.lstrip(" :+-*")) for x in lines]
+    for k, x in enumerate(lines):
+        if x.lstrip(" :+-*").startswith("BroadcastExchange"):
+            end = next((j for j in range(k + 1, len(lines)) if depth[j] <= depth[k]), len(lines))
+            yield "\n".join(lines[k:end])
+
+
+@pytest.mark.parametrize("by_index", [True])
+@pytest.mark.parametrize("broadcast", [False, True])
+def test_a_bootstrap_broadcasts_no_draws_and_orders_no_episodes_in_one_task(spark, monkeypatch, by_index, broadcast):
+    import hashlib
+
+    monkeypatch.setattr(gates, "_BROADCAST_ROWS", 100 if broadcast else 2, raising=False)
+    d = [0.5, -1.25, 3.0, 0.75, -2.0, 8.5, -0.25]
+    deltas = spark.createDataFrame(list(zip("gbeadfc", d, strict=True)), "e string, d double").repartition(3)
+    out = gates.paired_bootstrap(deltas, "e", "d", 40, "s", by_index)
+    r = out.first()
+    own, n = [x for _, x in sorted(zip("gbeadfc", d, strict=True))], len(d)
+    at = lambda draw, place: int(hashlib.sha256(f"s|{draw}|{place}".encode()).hexdigest()[:12], 16) % n
+    means = sorted(np.mean([own[at(draw, place)] for place in range(n)]) for draw in range(40))
+    want = (means[0], means[39]) if by_index else tuple(np.quantile(means, [0.025, 0.975]))
+    assert r["n"] == n and np.allclose((r["mean"], r["wins"], r["low"], r["high"]), (np.mean(d), 3 / 7, *want))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert not any(("Range (" in x or "Generate" in x) and "Aggregate" not in x for x in _broadcast_parts(plan))
+    assert "Generate" not in plan and not any("row_number" in x for x in plan.splitlines())
+
+
+def test_positions(spark):
+    rows = spark.createDataFrame([(k * 37 % 101, k) for k in range(101)] + [(None, 999)], "k int, v int").repartition(5)
+    coalesce = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(coalesce, "false")  # several ranges
+    try:
+        got = sampling.positions(rows, "k", "pos").collect()
+    finally:
+        spark.conf.unset(coalesce)
+    assert sorted((r["pos"], r["k"]) for r in got) == [*((k, k) for k in range(101)), (101, None)] and len(got[0]) == 3
+
+
 def test_contracts(spark, tmp_path):
     rows, path = spark.range(5), str(tmp_path / "t")
     digest = contracts.write_table(rows, path, {"b": 1, "a": [2]})
