@@ -157,7 +157,7 @@ def _broadcast_parts(plan):
             yield "\n".join(lines[k:end])
 
 
-@pytest.mark.parametrize("by_index", [True])
+@pytest.mark.parametrize("by_index", [False, True])
 @pytest.mark.parametrize("broadcast", [False, True])
 def test_a_bootstrap_broadcasts_no_draws_and_orders_no_episodes_in_one_task(spark, monkeypatch, by_index, broadcast):
     import hashlib
