@@ -89,6 +89,17 @@ def test_two_thousand_columns_fit_in_one_scan(spark):
     assert len(grid) == 4 and seen.value == 3000 and all(0 < r["reduction"] < 1 for r in grid)
 
 
+def test_ridges_equal_to_nine_decimals_go_to_the_smaller():
+    def split(slope, n=1e6):  # a standard column, and a target that follows it by a slope
+        return gram.Gram(["1", "a", "y"], n * np.array([[1, 0, 0], [0, 1, slope], [0, slope, 1]]))
+
+    for slope, best in ((0.009, 0.5), (0.5, 0.5), (-0.5, 4.0)):
+        grid = gram.readout_grid({"train": split(0.01), "val": split(slope)}, {"a": ["a"]}, ["y"], (4.0, 0.5))
+        assert {r["alpha"] for r in grid if r["chosen"]} == {best}
+        raw = {r["alpha"]: r["reduction"] for r in grid if r["split"] == "val"}
+        assert raw[4.0] != raw[0.5]
+
+
 def test_gram_refuses_bad_rows(spark):
     for rows, match in (([("train", 1.0, None)], "nulls"), ([("train", float("nan"), 1.0)], "finite"), ([(None, 1.0, 1.0)], "every row")):
         with pytest.raises(Exception, match=match):
