@@ -100,7 +100,8 @@ def provenance_audit(spark, sf_dir):
     """JON-25: each order is a report that read the customer's order before it; some claim another hash, some name one that isn't there, and what lies behind these is out of reach."""
     w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
     key = F.col("o_orderkey")
-    rows = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderstatus").withColumns({"prev": F.lag("o_orderkey").over(w), "status": F.lag("o_orderstatus").over(w), "root": F.lead("o_orderkey").over(w).isNull()})
+    orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderstatus")
+    rows = provenance.dealt(orders, "o_custkey", orders.count()).withColumns({"prev": F.lag("o_orderkey").over(w), "status": F.lag("o_orderstatus").over(w), "root": F.lead("o_orderkey").over(w).isNull()})
     digest = lambda k, sign, status: F.sha2(F.concat(k.cast("string"), sign, status), 256)
     reports = rows.select(key.alias("report"), digest(key, F.lit("|"), F.col("o_orderstatus")).alias("hash"))
     sign = F.when(key % _BAD == 0, "?").otherwise("|")

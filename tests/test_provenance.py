@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import duckdb
+import pytest
 from pyspark.sql import functions as F
 
 from tessera import registry
@@ -27,6 +28,14 @@ def test_broken_links_are_found(spark):
     assert depth == {"a": 0, "zz": 0, "b": 1, "c": 1, "d": 2, "e": 2, "gone": 2, "g": 3}
 
 
+@pytest.mark.parametrize("rows", [1, 3])
+def test_partitions_follow_rows_not_bytes(spark, monkeypatch, rows):
+    monkeypatch.setattr(provenance, "_ROWS", rows, raising=False)  # every step is joined by shuffle
+    ids = spark.range(40).select(F.lit("a").alias("report"), F.col("id").alias("input"))
+    assert provenance.dealt(ids, "input", 40).withColumn("task", F.spark_partition_id()).agg(F.count_distinct("task")).first()[0] > 4  # put together by bytes, all would be in one
+    test_broken_links_are_found(spark)
+
+
 def test_many_paths_are_followed_once(spark):
     layers = [[f"n{k}-{j}" for j in range(6)] for k in range(12)]
     links = [(x, y, f"h{y}") for a, b in zip(layers, layers[1:], strict=False) for x in a for y in b]  # 6^12 paths
