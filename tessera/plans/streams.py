@@ -14,16 +14,19 @@ _GAP, _STRIDE, _SLICES = 43_200, 2, 5
 
 
 def arriving(rows, folder: str, slices: int, late_seconds: int):
-    """Write ``rows`` as files in order of their time, each row up to ``late_seconds`` late by a hash; and open them as a stream, a slice a batch."""
+    """Deal ``rows`` over slices in order of their time, each row up to ``late_seconds`` late by a hash; yield the stream over all that has come after each slice is written.
+
+    Rows are dealt in one pass and a slice has as many files as tasks wrote, so a run takes up a slice as one batch."""
     spark = rows.sparkSession
+    rows = commits.stored(rows, "arriving")
     low, high = rows.agg(F.min("sec"), F.max("sec")).first()  # two numbers
     late = F.pmod(F.xxhash64("event_id"), F.lit(late_seconds))
     width = ((high or 0) - (low or 0) + late_seconds) / slices + 1
     dealt = rows.withColumn("slice", F.floor((F.col("sec") - F.lit(low or 0) + late) / F.lit(width)).cast("int"))
     for k in range(slices):
-        dealt.where(F.col("slice") == k).drop("slice").coalesce(1).write.parquet(f"{folder}/slice-{k:03d}")
-    # files of a slice are told by their folder; an empty slice leaves an empty file
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/slice-*")
+        # an empty slice leaves an empty file
+        dealt.where(F.col("slice") == k).drop("slice").write.parquet(f"{folder}/slice-{k:03d}")
+        yield spark.readStream.schema(rows.schema).parquet(f"{folder}/slice-*")
 
 
 @query(
@@ -34,9 +37,15 @@ def causal_stream(spark, sf_dir):
     """WIN-01, STR-01: causal triples of stride two from a stream whose rows come up to six hours late."""
     folder = commits.scratch(spark, "causal-stream")
     rows = ticks(spark, sf_dir).select("event_id", "user_id", "tick", "sec", "value", F.timestamp_micros((F.col("sec") * 1e6).cast("long")).alias("ts"))
-    stream = arriving(rows, f"{folder}/in", _SLICES, 6 * 3600)
-    found = causal.causal_triples(stream, _STRIDE, "value", float(_GAP), "12 hours")
-    return causal.run_to_end(found, f"{folder}/out", f"{folder}/checkpoint").select("user_id", "tick", "x0", "x1", "x2")
+    empty = "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = spark.conf.get(empty)
+    spark.conf.set(empty, "false")  # batches without rows only clear state, and the next slice's batch does so too
+    try:
+        for stream in arriving(rows, f"{folder}/in", _SLICES, 6 * 3600):
+            found = causal.run_to_end(causal.causal_triples(stream, _STRIDE, "value", float(_GAP), "12 hours"), f"{folder}/out", f"{folder}/checkpoint")
+    finally:
+        spark.conf.set(empty, before)
+    return found.select("user_id", "tick", "x0", "x1", "x2")
 
 
 @query()

@@ -33,12 +33,12 @@ class Triples(StatefulProcessor):
         # a row before the watermark is never seen again, so one that is further back than two gaps has no use
         return {t: v for t, v in held.items() if v[0] + 2 * self.most >= watermark}
 
-    def _store(self, held: dict[int, tuple]) -> None:
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
+    def _store(self, held: dict[int, tuple], timed: bool) -> None:
+        # ``timed``: a timer is there since the state was first filled; it renews itself when it expires, so it needs no call for each batch
         if held:
             self.ticks.put([(t, *v) for t, v in sorted(held.items())])
-            self.handle.registerTimer(int((max(v[0] for v in held.values()) + 2 * self.most) * 1000) + 1000)
+            if not timed:
+                self.handle.registerTimer(int((max(v[0] for v in held.values()) + 2 * self.most) * 1000) + 1000)
         else:
             self.ticks.clear()
 
@@ -46,7 +46,7 @@ class Triples(StatefulProcessor):
         import pandas as pd
 
         held = {t: (sec, x, ok) for t, sec, x, ok in self.ticks.get()}
-        new: set[int] = set()
+        timed, new = bool(held), set()
         for frame in rows:
             for t, sec, x, ok in zip(*(frame[c].tolist() for c in self.names), strict=True):
                 if t not in held:  # a tick that comes again changes nothing
@@ -59,15 +59,14 @@ class Triples(StatefulProcessor):
                 continue
             if three[1][0] - three[0][0] <= self.most and three[2][0] - three[1][0] <= self.most:
                 found.append((key[0], t, three[2][0], *(v[1] for v in three)))
-        self._store(self._kept(held, timerValues.getCurrentWatermarkInMs() / 1000))
-        yield pd.DataFrame(found, columns=[self.episode, "tick", "sec", "x0", "x1", "x2"])
+        self._store(self._kept(held, timerValues.getCurrentWatermarkInMs() / 1000), timed)
+        if found:
+            yield pd.DataFrame(found, columns=[self.episode, "tick", "sec", "x0", "x1", "x2"])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator:
-        import pandas as pd
-
         held = {t: (sec, x, ok) for t, sec, x, ok in self.ticks.get()}
-        self._store(self._kept(held, timerValues.getCurrentWatermarkInMs() / 1000))
-        yield pd.DataFrame([], columns=[self.episode, "tick", "sec", "x0", "x1", "x2"])
+        self._store(self._kept(held, timerValues.getCurrentWatermarkInMs() / 1000), False)
+        yield from ()
 
     def close(self) -> None:
         pass

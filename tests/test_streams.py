@@ -79,6 +79,19 @@ def test_rows_after_the_watermark_are_left_out_and_state_goes(spark, tmp_path):
     assert {r[0] for r in state.select("key.user_id").distinct().collect()} == {9}
 
 
+def test_slices_keep_their_files_and_each_row_comes_once(spark, tmp_path):
+    from tessera.plans import streams
+
+    rows = spark.range(4000).select(F.col("id").alias("event_id"), F.col("id").cast("double").alias("sec")).repartition(4)
+    want = 0
+    for k, stream in enumerate(streams.arriving(rows, f"{tmp_path}/in", 3, 100)):
+        assert stream.isStreaming
+        own = spark.read.parquet(f"{tmp_path}/in/slice-{k:03d}")
+        assert len(own.inputFiles()) > 1 and not any(tmp_path.glob(f"in/slice-{k + 1:03d}"))
+        want += own.count()
+    assert want == 4000 == spark.read.parquet(f"{tmp_path}/in/slice-*").select("event_id").distinct().count()
+
+
 # --- codebooks ---------------------------------------------------------------------------------------
 
 def cloud(spark, n=400, seed=0):
